@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.plans.views import Views
 
-MODULES = ["aggregates", "series"]
+MODULES = ["aggregates", "series", "relational"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
