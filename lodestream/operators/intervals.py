@@ -13,8 +13,8 @@ CHUNK_DAYS = 32
 
 def _sessions(df: DataFrame, keys: list[str], touch_us: int) -> DataFrame:
     """Merge by session_window with a duration of each row's own; the session's true bounds are kept beside it."""
-    # A session that ends when another begins isn't merged with it, hence the last microsecond.
-    length = F.concat((F.col("__e") - F.col("__s") + F.lit(touch_us + 1)).cast("string"), F.lit(" microseconds"))
+    # A session that ends when another begins is merged with it, so the reach is as far as intervals may lie apart.
+    length = F.concat((F.col("__e") - F.col("__s") + F.lit(touch_us)).cast("string"), F.lit(" microseconds"))
     window = F.session_window(F.timestamp_micros("__s"), length)
     return df.groupBy(*keys, window.alias("__w")).agg(F.min("__s").alias("__s"), F.max("__e").alias("__e")).drop("__w")
 
