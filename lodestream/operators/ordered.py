@@ -24,19 +24,31 @@ def with_next(df: DataFrame, keys: list[str], order: str, chunk: Column, value:
     )
 
 
-def with_rank(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:
-    """Add ``out``: the row's zero-based position in its group by ``order``; ties need a unique last column.
+def with_places(df: DataFrame, keys: list[str], order: list[str], chunk: str, counted: dict[str, str]) -> DataFrame:
+    """Add, for each ``counted`` column, the row's zero-based place in its group among the rows where that column isn't NULL.
 
-    ``chunk`` must not decrease with ``order``. Each chunk is numbered in its own task and shifted by the
-    rows of the group's earlier chunks, of which only the counts are ordered. Keys must not be NULL.
+    ``counted`` maps new names to columns; where a column is NULL its place is that of the next counted row. ``chunk``
+    is a column that must not decrease with ``order``; ties in ``order`` need a unique last column. Each chunk is
+    numbered in its own task and shifted by the counts of the group's earlier chunks, of which only the counts are
+    ordered. Keys must not be NULL.
     """
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    rows = df.withColumn("__chunk", chunk).withColumn("__n", F.row_number().over(inside).cast("long"))
-    counts = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "__chunk", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    return (
-        rows.join(counts, [*keys, "__chunk"])
-        .withColumn(out, F.col("__before") + F.col("__n") - 1)
-        .drop("__chunk", "__before", "__n")
-    )
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select("*", *[F.count(c).over(inside).alias(f"__in_{n}") for n, c in counted.items()])
+    counts = df.groupBy(*keys, chunk).agg(*[F.count(c).alias(f"__all_{n}") for n, c in counted.items()])
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, chunk, *[F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in counted])
+    placed = rows.join(counts, [*keys, chunk])
+    return placed.select(*df.columns, *[(F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(n) for n in counted])
+
+
+def without_repeats(df: DataFrame, keys: list[str], order: list[str], chunk: str) -> DataFrame:
+    """Drop rows that agree with the row before in all of ``order``: exact copies, which sorting has made neighbours.
+
+    Sorted and partitioned as in :func:`with_places`, so that the two share one shuffle.
+    """
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    same = F.lit(True)
+    for c in order:
+        same = same & F.lag(c).over(inside).eqNullSafe(F.col(c))
+    first = F.row_number().over(inside) == 1
+    return df.withColumn("__first", first | ~same).where("__first").drop("__first")

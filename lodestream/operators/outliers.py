@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.operators.ordered import with_rank
+from lodestream.operators.ordered import with_places, without_repeats
 
 #: Rows on either side of a reading in its rolling window.
 HALF = 25
@@ -15,8 +15,10 @@ HALF = 25
 BLOCK = 20_000
 #: A reading is a candidate if it is more than this many MADs from its rolling median (see `flag_implausible`).
 SCREEN = 1.0
-#: A group's sorting task takes about this many rows; a source with more is numbered in several.
-CHUNK_ROWS = 200_000
+#: A source is sorted day by day, each day in its own task.
+CHUNK_US = 86_400_000_000
+#: Width, in decades, of the bins in which a source's ordinary range is sought; their extremes are exact.
+BIN = 0.005
 
 
 def _rolling(values, half: int):
@@ -50,19 +52,19 @@ def _run_lengths(values):
     return np.repeat(lengths, lengths)
 
 
-def _screen(half: int) -> Callable[[Iterator], Iterator]:
-    """Over a partition sorted by source, measure, block and position: rolling score and run length of a block's own rows."""
+def _screen(half: int, block: int) -> Callable[[Iterator], Iterator]:
+    """Over a partition sorted by source, measure, block and place: rolling score and run length of a block's own rows."""
 
     def finish(pdf):
         import numpy as np
         import pandas as pd
 
-        out = []
         keys = pdf[["__src", "__measure", "__block"]]
         change = (keys != keys.shift()).any(axis=1).to_numpy()
         bounds = np.append(np.flatnonzero(change), len(pdf))
-        value, log = pdf["__value"].to_numpy(), pdf["__log"].to_numpy(dtype="float64")
-        own = pdf["__own"].to_numpy()
+        value = pdf["__value"].to_numpy(dtype="float64")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log = np.where(pdf["__fit"].to_numpy(dtype=bool), np.log10(value), np.nan)
         score, length = np.full(len(pdf), np.nan), np.zeros(len(pdf), dtype="int64")
         for i, j in zip(bounds[:-1], bounds[1:]):
             length[i:j] = _run_lengths(value[i:j])
@@ -72,9 +74,11 @@ def _screen(half: int) -> Callable[[Iterator], Iterator]:
                 gap = np.abs(log[fit] - median)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     score[fit] = np.where(gap == 0, 0.0, gap / mad)
-        frame = pd.DataFrame({"__row": pdf["__row"], "__src": pdf["__src"], "__measure": pdf["__measure"], "__log": log, "__score": score, "__run": length})
-        out.append(frame[own])
-        return pd.concat(out)
+        own = (pdf["__at"].to_numpy() // block) == pdf["__block"].to_numpy()
+        frame = pd.DataFrame(
+            {"__row": pdf["__row"], "__src": pdf["__src"], "__measure": pdf["__measure"], "__log": log, "__score": score, "__run": length}
+        )
+        return frame[own]
 
     def run(batches):
         import pandas as pd
@@ -119,78 +123,89 @@ def flag_implausible(
     - 'stuck': one of ``least_run`` or more successive equal readings, where a source's values rarely repeat (at least
       half are distinct).
 
-    Spikes and stuck runs are sought in sources with ``least_rows`` rows or more. A repeated ``key`` counts once; rows
-    with a NULL key or source are ignored, a NULL measure is no reading, and NULL times come first. Ties in time are
-    ordered by key. An empty input gives an empty result.
+    Spikes and stuck runs are sought in sources with ``least_rows`` rows or more. A repeated row (same key, source and
+    time) counts once; rows with a NULL key or source are ignored, a NULL measure is no reading, and NULL times come
+    first. Ties in time are ordered by key. An empty input gives an empty result.
 
-    A source's readings are numbered chunk by chunk and cut into blocks of ``block`` with ``half`` neighbours on each
-    side, so a hot source is spread over tasks and no task holds more than a block.
+    A source's readings are numbered day by day and cut into blocks of ``block`` with ``half`` neighbours on each side,
+    so a hot source is spread over tasks and no task holds more than a block. The ordinary range comes from counts and
+    extremes by source and bin, made before the shuffle. Rows are shuffled twice: to their day and to their block.
     """
+    names = list(bounds)
     rows = df.select(
         F.col(f"`{key}`").alias("__row"),
         F.col(f"`{source}`").alias("__src"),
         F.coalesce(F.unix_micros(F.col(f"`{time}`").cast("timestamp")), F.lit(-(2**62))).alias("__t"),
-        *[F.col(f"`{m}`").alias(f"__m{i}") for i, m in enumerate(bounds)],
+        *[F.col(f"`{m}`").alias(f"__m{i}") for i, m in enumerate(names)],
     ).where(F.col("__row").isNotNull() & F.col("__src").isNotNull())
-    rows = rows.dropDuplicates(["__row"])
-    pieces = [
-        F.struct(
-            F.lit(m).alias("measure"),
-            F.col(f"__m{i}").cast("double").alias("value"),
-            possible(F.col(f"__m{i}")).alias("possible"),
-        )
-        for i, (m, possible) in enumerate(bounds.items())
-    ]
-    long = rows.select("__row", "__src", "__t", F.explode(F.array(*pieces)).alias("__p")).select(
-        "__row", "__src", "__t", F.col("__p.measure").alias("__measure"), F.col("__p.value").alias("__value"),
-        F.col("__p.possible").alias("__possible"),
+    kinds = dict(rows.dtypes)
+    tests = [F.coalesce(possible(F.col(f"__m{i}")), F.lit(False)) for i, possible in enumerate(bounds.values())]
+    wrong = F.filter(
+        F.array(*[F.when(F.col(f"__m{i}").isNotNull() & ~ok, F.lit(m)) for (i, m), ok in zip(enumerate(names), tests)]),
+        lambda x: x.isNotNull(),
+    )
+    impossible = rows.select("__row", "__src", F.explode(wrong).alias("__measure")).distinct()
+    impossible = impossible.select("__row", "__src", "__measure", F.lit("impossible").alias("reason"), F.lit(None).cast("double").alias("score"))
+
+    slim = rows.select(
+        "__row", "__src", "__t", F.floor(F.col("__t") / F.lit(CHUNK_US)).alias("__day"),
+        *[F.col(f"__m{i}").cast("double").alias(f"__v{i}") for i in range(len(names))],
+        *[ok.alias(f"__ok{i}") for i, ok in enumerate(tests)],
     )
-    impossible = long.where(~F.col("__possible")).select(
-        "__row", "__src", "__measure", F.lit("impossible").alias("reason"), F.lit(None).cast("double").alias("score")
+    once = without_repeats(slim, ["__src"], ["__t", "__row"], "__day")
+    placed = with_places(once, ["__src"], ["__t", "__row"], "__day", {f"__at{i}": f"__v{i}" for i in range(len(names))})
+
+    def melted(frame: DataFrame, *extra: str) -> DataFrame:
+        pieces = [
+            F.struct(
+                F.lit(m).alias("measure"), F.col(f"__v{i}").alias("value"), (F.col(f"__ok{i}") & (F.col(f"__v{i}") > 0)).alias("fit"),
+                *[F.col(f"{e}{i}").alias(e) for e in extra],
+            )
+            for i, m in enumerate(names)
+        ]
+        flat = frame.select("__row", "__src", F.explode(F.array(*pieces)).alias("__p")).select(
+            "__row", "__src", F.col("__p.measure").alias("__measure"), F.col("__p.value").alias("__value"), F.col("__p.fit").alias("__fit"),
+            *[F.col(f"__p.{e}").alias(e) for e in extra],
+        )
+        return flat.where(F.col("__value").isNotNull())
+
+    # Each reading goes to its own block and, near a border, to the neighbour's too; a block is no shorter than the reach.
+    at, block = F.col("__at"), max(block, half)
+    blocks = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-half), F.lit(half)), lambda d: F.floor((at + d) / block)))
+    spread = melted(placed, "__at").withColumn("__block", F.explode(blocks)).where(F.col("__block") >= 0)
+    order = ["__src", "__measure", "__block"]
+    scored = spread.repartition(*order).sortWithinPartitions(*order, "__at").mapInPandas(
+        _screen(half, block),
+        f"__row {kinds['__row']}, __src {kinds['__src']}, __measure string, __log double, __score double, __run long",
     )
+    candidates = scored.where((F.col("__score") > SCREEN) | (F.col("__run") >= least_run))
 
-    # Per source: its rows and time span; per source and measure: deciles on a log scale and how many values differ.
-    log = F.when(F.col("__possible") & (F.col("__value") > 0), F.log10("__value"))
-    long = long.withColumn("__log", log)
-    stats = long.groupBy("__src", "__measure").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.count("__value").alias("__readings"),
-        F.approx_count_distinct("__value", 0.02).alias("__distinct"),
-        F.percentile_approx("__log", F.array(F.lit(0.1), F.lit(0.9)), F.lit(2000)).alias("__deciles"),
-        F.min("__t").alias("__from"),
-        F.max("__t").alias("__to"),
+    # A source's ordinary range, from bins: counts, least and greatest of each.
+    log = F.when(F.col("__fit"), F.log10("__value"))
+    by = ["__src", "__measure"]
+    bins = melted(once).select(*by, log.alias("__log")).where(F.col("__log").isNotNull()).groupBy(*by, F.floor(F.col("__log") / BIN).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__log").alias("__lo"), F.max("__log").alias("__hi")
     )
-    stats = stats.where(F.col("__n") >= least_rows)
-    readings = long.where(F.col("__value").isNotNull()).join(stats, ["__src", "__measure"])
-    width = F.greatest((F.col("__to") - F.col("__from")) / F.ceil(F.col("__n") / F.lit(CHUNK_ROWS)), F.lit(1.0))
-    chunk = F.floor((F.col("__t") - F.col("__from")) / width)
-    low, high = F.col("__deciles").getItem(0), F.col("__deciles").getItem(1)
-    near = F.col("__log").between(low - (high - low), high + (high - low))
-    slim = readings.select("__row", "__src", "__measure", "__t", "__value", "__log", chunk.alias("__piece"))
-    ranked = with_rank(slim, ["__src", "__measure"], ["__t", "__row"], F.col("__piece"), "__pos")
-    # Each reading goes to its own block and, near a border, to the neighbour's too.
-    at = F.floor(F.col("__pos") / block)
-    blocks = F.array_distinct(F.array(at, F.floor((F.col("__pos") - half) / block), F.floor((F.col("__pos") + half) / block)))
-    spread = ranked.select("__row", "__src", "__measure", "__value", "__log", "__pos", F.explode(blocks).alias("__block"))
-    spread = spread.where(F.col("__block") >= 0).withColumn("__own", at == F.col("__block"))
-    sorted_blocks = spread.repartition("__src", "__measure", "__block").sortWithinPartitions(
-        "__src", "__measure", "__block", "__pos"
+    over = Window.partitionBy(*by)
+    upto = F.sum("__n").over(over.orderBy("__bin"))
+    bins = bins.select("*", upto.alias("__upto"), F.sum("__n").over(over).alias("__fits"))
+    tenth, ninetieth = F.ceil(F.col("__fits") * 0.1), F.ceil(F.col("__fits") * 0.9)
+    bins = bins.select(
+        "*",
+        F.min(F.when(F.col("__upto") >= tenth, F.col("__lo"))).over(over).alias("__q1"),
+        F.min(F.when(F.col("__upto") >= ninetieth, F.col("__hi"))).over(over).alias("__q9"),
     )
-    types = dict(long.dtypes)
-    scored = sorted_blocks.select("__row", "__src", "__measure", "__value", "__log", "__block", "__own").mapInPandas(
-        _screen(half),
-        f"__row {types['__row']}, __src {types['__src']}, __measure string, __log double, __score double, __run long",
+    width = F.col("__q9") - F.col("__q1")
+    # A bin at the edge may hold both ordinary readings and others: its extremes count only inside the reach.
+    low, high = F.col("__q1") - width, F.col("__q9") + width
+    span = bins.groupBy(*by).agg(
+        F.min(F.when(F.col("__lo") >= low, F.col("__lo")).when(F.col("__hi") >= low, F.col("__hi"))).alias("__low"),
+        F.max(F.when(F.col("__hi") <= high, F.col("__hi")).when(F.col("__lo") <= high, F.col("__lo"))).alias("__high"),
     )
-    candidates = scored.where((F.col("__score") > SCREEN) | (F.col("__run") >= least_run))
-    span = (
-        readings.where(near)
-        .groupBy("__src", "__measure")
-        .agg(
-            F.min("__log").alias("__low"), F.max("__log").alias("__high"),
-            F.max("__distinct").alias("__distinct"), F.max("__readings").alias("__readings"),
-        )
-    )
-    judged = candidates.join(span, ["__src", "__measure"])
+    # Rows of a source (NULL readings too), readings and different values of each measure.
+    sizes = once.groupBy("__src").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") >= least_rows)
+    variety = melted(once).groupBy(*by).agg(F.count(F.lit(1)).alias("__readings"), F.approx_count_distinct("__value", 0.02).alias("__distinct"))
+    judged = candidates.join(sizes, "__src").join(variety, by).join(span, by, "left")
     beyond = F.greatest(F.col("__log") - F.col("__high"), F.col("__low") - F.col("__log"))
     spike = (F.col("__score") > SCREEN) & (beyond > F.col("__high") - F.col("__low")) & (beyond > 0)
     stuck = (F.col("__run") >= least_run) & (F.col("__distinct") >= 0.5 * F.col("__readings"))
