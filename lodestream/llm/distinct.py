@@ -31,7 +31,10 @@ def registers(df: DataFrame, groups: list[str], value: str, precision: int = PRE
     shuffle, so a hot group costs no more than its 2^precision registers. Register rows of separate runs may be united
     and passed to :func:`merge_registers`.
     """
-    hashed = df.where(F.col(value).isNotNull()).select(*groups, F.xxhash64(F.col(value).cast("string")).alias("__h"))
+    # NULLs are carried to the aggregation, which skips them: a filter here would be pushed below the projection that
+    # makes the value and evaluate that once more for each mention.
+    known = F.col(value).isNotNull()
+    hashed = df.select(*groups, F.when(known, F.xxhash64(F.col(value).cast("string"))).alias("__h"))
     rest = F.call_function("shiftleft", F.col("__h"), F.lit(precision))
     # Rank: one plus the leading zeros of the hash's other bits, at most 65 - precision.
     zeros = F.when(rest < 0, F.lit(0)).when(rest == 0, F.lit(64 - precision)).otherwise(64 - F.length(F.bin(rest)))
@@ -39,7 +42,10 @@ def registers(df: DataFrame, groups: list[str], value: str, precision: int = PRE
         hashed.select(
             *groups,
             F.call_function("shiftrightunsigned", F.col("__h"), F.lit(64 - precision)).cast("int").alias("register"),
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.least(zeros, F.lit(64 - precision)).cast("int")).alias("bits"),
+            F.when(
+                F.col("__h").isNotNull(),
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.least(zeros, F.lit(64 - precision)).cast("int")),
+            ).alias("bits"),
         ),
         groups,
     )
@@ -47,7 +53,7 @@ def registers(df: DataFrame, groups: list[str], value: str, precision: int = PRE
 
 def merge_registers(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Unite register rows by group; the result is that of one pass over all the values (lossless)."""
-    united = rows.groupBy(*groups, "register").agg(F.bit_or("bits").alias("bits"))
+    united = rows.groupBy(*groups, "register").agg(F.bit_or("bits").alias("bits")).where(F.col("bits").isNotNull())
     return united.withColumn("bits", _trim(F.col("bits")))
 
 
@@ -56,8 +62,11 @@ def roll_up(rows: DataFrame, groups: list[str]) -> DataFrame:
 
     ``grouping`` has a bit for each group column, the first the highest, set where it is rolled up.
     """
-    over = rows.cube(*groups, "register").agg(F.bit_or("bits").alias("bits"), F.grouping_id().alias("__g"))
-    over = over.where(F.col("__g") % 2 == 0)  # the last bit is that of the register itself
+    names = [F.col(g) for g in groups]
+    sets = [[g for i, g in enumerate(names) if not mask >> (len(names) - 1 - i) & 1] for mask in range(2 ** len(names))]
+    register = F.col("register")
+    over = rows.groupingSets([[*some, register] for some in sets], *names, register)
+    over = over.agg(F.bit_or("bits").alias("bits"), F.grouping_id().alias("__g"))  # its last bit, the register's, is 0
     return over.withColumn("bits", _trim(F.col("bits"))).withColumn("grouping", (F.col("__g") / 2).cast("int")).drop("__g")
 
 
