@@ -111,10 +111,11 @@ QUERIES = {
 
 _KEY = "lower(trim(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')))"
 _P3 = f"""
-with t as (
-  select transactionHash as h, arg_max({_KEY.format('merchantId')}, createdAt) as m, arg_max(timestamp, createdAt) as ts,
-         arg_max(case when isnan(totalGasCostUsd) then null else totalGasCostUsd end, createdAt) as c, arg_max(gasUsed, createdAt) as g
-  from gas_transactions where merchantId is not null and trim(merchantId) <> '' and timestamp is not null group by 1),
+with v as (
+  select transactionHash as h, {_KEY.format('merchantId')} as m, timestamp as ts, totalGasCostUsd as c, gasUsed as g,
+         row_number() over (partition by transactionHash order by createdAt desc) as k
+  from gas_transactions where merchantId is not null and trim(merchantId) <> '' and timestamp is not null),
+t as (select h, m, ts, case when cast(c as varchar) like '%nan' then null else c end as c, g from v where k = 1),
 d as (select m, cast(ts as date) as d, count(*) as n, max(c) as c, coalesce(sum(g), 0) as g from t group by 1, 2),
 k as (select m, cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from d group by 1),
 w as (select m, d, unnest([7, 30]) as w from k),
