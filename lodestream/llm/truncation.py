@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.session import cut
+
 #: An unterminated ending is a whole one (a title, a sign-off) if it makes up this share of all unterminated endings,
 #: its names and numbers aside, or if it stands as a line of its own at the head of so many other texts.
 WHOLE_SHARE = 0.005
@@ -150,7 +152,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = rows.where(F.col("text").isNotNull())
     ends = rows.mapInPandas(
         _endings, f"doc_id {kinds[key]}, source {kinds[source]}, chars long, verdict string, tail string"
-    ).withColumn("form", form(F.col("tail")))
+    )
+    # Both the baseline and the verdicts need the endings; the texts are read and parsed once.
+    ends = cut(ends.select("doc_id", "source", "chars", "verdict", form(F.col("tail")).alias("form")))
     tails = ends.where(F.col("verdict") == "tail").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     all_tails = tails.agg(F.sum("n").alias("all"))
     # One row, whatever the corpus holds.
@@ -162,9 +166,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     titles = titles.join(tails.select("form"), "form", "left_semi")
     whole = usual.unionByName(titles).distinct().withColumn("known", F.lit(True))
     placed = ends.join(whole, "form", "left")
-    cut = (F.col("verdict") == "cut") | ((F.col("verdict") == "tail") & F.col("known").isNull())
-    reason = F.when(cut, F.when(F.col("verdict") == "cut", F.lit("structure")).otherwise(F.lit("ending")))
-    return placed.select("doc_id", "source", "chars", cut.alias("truncated"), reason.alias("reason"))
+    ended = (F.col("verdict") == "cut") | ((F.col("verdict") == "tail") & F.col("known").isNull())
+    reason = F.when(ended, F.when(F.col("verdict") == "cut", F.lit("structure")).otherwise(F.lit("ending")))
+    return placed.select("doc_id", "source", "chars", ended.alias("truncated"), reason.alias("reason"))
 
 
 def truncation_rates(verdicts: DataFrame) -> DataFrame:
