@@ -29,10 +29,20 @@ def words(text: str) -> list[str]:
     return re.findall(r"\w+", text)
 
 
-def _word_hash(word: str) -> int:
-    import xxhash
+#: Word hashes that a task remembers at most; texts repeat their words.
+REMEMBERED = 200_000
 
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+class WordHashes(dict):
+    """Hashes of words, computed when first asked for and forgotten all at once when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
 
 
 def fingerprints(hashes, window: int = WINDOW):
@@ -65,6 +75,7 @@ class Index:
 
         self.window, self.radius = window, radius
         self.codes: dict[str, int] = {}  # words of the items, numbered from 1
+        self.hashes = WordHashes()
         prints, owner, place = [], [], []
         self.texts, self.ids = [], [i for i, _ in items]
         for k, (_, text) in enumerate(items):
@@ -72,7 +83,7 @@ class Index:
             for token in tokens:
                 self.codes.setdefault(token, len(self.codes) + 1)
             self.texts.append(np.array([self.codes[t] for t in tokens], dtype=np.int32))
-            own = fingerprints(np.array([_word_hash(t) for t in tokens], dtype=np.uint64), window)
+            own = fingerprints(np.array([self.hashes[t] for t in tokens], dtype=np.uint64), window)
             prints.append(own)
             owner += [k] * len(own)
             place += range(len(own))
@@ -118,7 +129,7 @@ class Index:
         tokens = words(text)
         if len(tokens) < self.window or not len(self.prints):
             return []
-        prints = fingerprints(np.fromiter((_word_hash(t) for t in tokens), dtype=np.uint64, count=len(tokens)), self.window)
+        prints = fingerprints(np.array([self.hashes[t] for t in tokens], dtype=np.uint64), self.window)
         at, found = self.candidates(prints)
         best: dict[int, list] = {}
         if not len(at):
