@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestream.session import cut
 
 #: An unterminated ending is a whole one (a title, a sign-off) if it makes up this share of all unterminated endings,
-#: its names and numbers aside, or if it stands as a line of its own at the head of so many other texts.
+#: its names and numbers aside, or if it stands as a line of its own at the head of so many other texts. Exact copies
+#: of a text count once in both.
 WHOLE_SHARE = 0.005
 WHOLE_LINES = 2
 #: An ending of fewer words than this is never taken for a sign-off.
@@ -130,6 +131,7 @@ def _endings(batches: Iterator) -> Iterator:
             {
                 "doc_id": pdf["doc_id"],
                 "source": pdf["source"],
+                "copy": pdf["copy"],
                 "chars": [len(t) for t in pdf["text"]],
                 "verdict": [v for v, _ in verdicts],
                 "tail": [t for _, t in verdicts],
@@ -144,25 +146,26 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     escape or in a sign that more follows, or if its last sentence or line has no terminator and isn't one of the
     corpus's usual whole endings (titles, sign-offs, trailing-off sentences). Those are found over all texts: endings
     whose form makes up ``WHOLE_SHARE`` of all unterminated ones, or that other texts have as a line of their own.
+    Exact copies count as one text there, so that a cut text doesn't become usual by being copied.
 
     NULL texts are left out; empty ones are whole. Repeated keys are judged row by row.
     """
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
+    rows = rows.where(F.col("text").isNotNull()).withColumn("copy", F.xxhash64("text"))
     ends = rows.mapInPandas(
-        _endings, f"doc_id {kinds[key]}, source {kinds[source]}, chars long, verdict string, tail string"
+        _endings, f"doc_id {kinds[key]}, source {kinds[source]}, copy long, chars long, verdict string, tail string"
     )
     # Both the baseline and the verdicts need the endings; the texts are read and parsed once.
-    ends = cut(ends.select("doc_id", "source", "chars", "verdict", form(F.col("tail")).alias("form")))
-    tails = ends.where(F.col("verdict") == "tail").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    ends = cut(ends.select("doc_id", "source", "copy", "chars", "verdict", form(F.col("tail")).alias("form")))
+    tails = ends.where(F.col("verdict") == "tail").groupBy("form").agg(F.count_distinct("copy").alias("n"))
     all_tails = tails.agg(F.sum("n").alias("all"))
     # One row, whatever the corpus holds.
     usual = tails.join(F.broadcast(all_tails)).where(F.col("n") >= F.greatest(F.col("all") * WHOLE_SHARE, F.lit(2)))
     usual = usual.where(F.size(F.split("form", r"\s+")) >= WHOLE_WORDS).select("form")
     line = F.regexp_extract("text", rf"^([^\n]{{1,{TITLE_CHARS}}})\r?\n", 1)
-    lines = rows.select(form(line).alias("form")).where((F.col("form") != "") & ~F.col("form").rlike(_END))
-    titles = lines.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WHOLE_LINES).select("form")
+    lines = rows.select(form(line).alias("form"), "copy").where((F.col("form") != "") & ~F.col("form").rlike(_END))
+    titles = lines.groupBy("form").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= WHOLE_LINES).select("form")
     titles = titles.join(tails.select("form"), "form", "left_semi")
     whole = usual.unionByName(titles).distinct().withColumn("known", F.lit(True))
     placed = ends.join(whole, "form", "left")

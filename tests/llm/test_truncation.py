@@ -66,6 +66,18 @@ def test_cut_texts_are_told_from_titles_and_sign_offs(spark):
     assert got == cut
 
 
+def test_copies_of_a_cut_text_are_no_baseline(spark):
+    pick = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "zeta", "iota"]
+    sentence = lambda: " ".join(pick.choice(words) for _ in range(12)).capitalize()
+    copied = "Of the copied\n\n" + sentence() + ". Much is left of the copied"
+    rows = [("s", copied)] * 300 + [("s", sentence()) for _ in range(300)] + [("s", f"{sentence()}.") for _ in range(297)]
+    rows += [("s", f"{sentence()}.\n-- desk {i}") for i in range(3)] + [("s", f"{sentence()}. Of the copied")]
+    got = {r.doc_id for r in judge(spark, rows).where("truncated").collect()}
+    # The copies neither pass the share, nor push the three sign-offs below it, nor make a title of their first line.
+    assert got == {*range(600), 900}
+
+
 def test_rates_and_limits(spark):
     rows = [("a", "x y" * 40 + "zz")] * 30 + [("a", "Done.")] * 70 + [("b", "Done.")] * 5 + [(None, "Done."), ("b", None), ("b", "")]
     got = {r.source: r for r in t.truncation_rates(judge(spark, [(s, x if x is None or len(x) < 10 else f"{i} {x[:-len(str(i))]}") for i, (s, x) in enumerate(rows)])).collect()}
