@@ -78,19 +78,54 @@ def entry_points(edges: DataFrame, source: str, target: str) -> DataFrame:
     return links.select(F.col("a").alias("node")).distinct().join(links.select(F.col("b").alias("node")), "node", "left_anti")
 
 
-def path_costs(edges: DataFrame, source: str, target: str, factor: str, costs: DataFrame, node: str, cost: str, longest: int = 16) -> DataFrame:
-    """node, total: a node's own cost and that of everything it calls, times the factors along each path.
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The edges (a, b) left when those from nodes without in-edges and to nodes without out-edges are taken off again and again."""
+    links, size = cut(links), -1
+    while (n := links.count()) not in (0, size):
+        size = n
+        sources, targets = links.select(F.col("a").alias("b")).distinct(), links.select(F.col("b").alias("a")).distinct()
+        links = cut(links.join(sources, "b", "left_semi").join(targets, "a", "left_semi").select("a", "b"))
+    return links
+
+
+def _opened(links: DataFrame, own: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, own) without cycles: every node on one gets what its paths within its component collect, and their ways out.
 
-    Sums are carried upwards level by level, added up by node, so paths aren't enumerated. Calls further than
-    ``longest`` deep, as on cycles, aren't followed.
+    A path ends where it comes to a node it has been at, and adds that node's own cost. Such paths are enumerated.
+    """
+    cycles = cut(cycles)
+    placed = links.join(cycles.select(F.col("node").alias("a"), F.col("cycle").alias("left")), "a", "left")
+    placed = cut(placed.join(cycles.select(F.col("node").alias("b"), F.col("cycle").alias("entered")), "b", "left"))
+    within = placed.where("left = entered").select(F.col("a").alias("node"), "b", F.col("f").alias("g"))
+    outward = placed.where("left is not null and not left <=> entered").select(F.col("a").alias("node"), "b", F.col("f").alias("g"))
+    paths = cut(cycles.select(F.col("node").alias("top"), "node", F.lit(1.0).alias("f"), F.array("node").alias("seen"), F.lit(False).alias("back")))
+    weights = None
+    while not paths.isEmpty():
+        ends = paths.select("top", "node", "f", "back")
+        weights = cut((ends if weights is None else weights.unionByName(ends)).groupBy("top", "node", "back").agg(F.sum("f").alias("f")))
+        longer = paths.where(~F.col("back")).join(within, "node").select("top", F.col("b").alias("node"), (F.col("f") * F.col("g")).alias("f"), "seen")
+        paths = cut(longer.select("top", "node", "f", F.array_append("seen", F.col("node")).alias("seen"), F.array_contains("seen", F.col("node")).alias("back")))
+    costs = weights.join(own, "node").groupBy(F.col("top").alias("node")).agg(F.sum(F.col("f") * F.col("total")).alias("total"))
+    ways = weights.where(~F.col("back")).join(outward, "node").groupBy(F.col("top").alias("a"), "b").agg(F.sum(F.col("f") * F.col("g")).alias("f"))
+    others = placed.where("left is null").select("a", "b", "f")
+    return cut(others.unionByName(ways)), cut(own.join(cycles, "node", "left_anti").unionByName(costs))
+
+
+def path_costs(edges: DataFrame, source: str, target: str, factor: str, costs: DataFrame, node: str, cost: str) -> DataFrame:
+    """node, total: a node's own cost and that of everything it calls, times the factors along each path, however long.
+
+    Sums are carried upwards level by level, added up by node, so paths aren't enumerated. Only within a cycle's
+    component they are: there a path ends where it comes to a node it has been at, whose own cost it adds.
     """
     links = edges.select(F.col(f"`{source}`").alias("a"), F.col(f"`{target}`").alias("b"), F.col(f"`{factor}`").cast("double").alias("f")).dropna()
     links = cut(links)  # every round joins it again
     own = costs.select(F.col(f"`{node}`").alias("node"), F.col(f"`{cost}`").cast("double").alias("total"))
-    step, total = own, own
-    for _ in range(longest):
-        step = cut(step.join(links, F.col("node") == F.col("b")).groupBy(F.col("a").alias("node")).agg(F.sum(F.col("total") * F.col("f")).alias("total")))
-        if step.isEmpty():
-            break
-        total = total.unionByName(step)
+    loops = _trimmed(links.select("a", "b").distinct())
+    if not loops.isEmpty():
+        links, own = _opened(links, own, on_cycles(loops, "a", "b"))
+    step, total, rounds = own, own, 0
+    while not (step := cut(step.join(links, F.col("node") == F.col("b")).groupBy(F.col("a").alias("node")).agg(F.sum(F.col("total") * F.col("f")).alias("total")))).isEmpty():
+        total, rounds = total.unionByName(step), rounds + 1
+        if rounds % 32 == 0:  # the plan stays small, however long the paths are
+            total = cut(total.groupBy("node").agg(F.sum("total").alias("total")))
     return total.groupBy("node").agg(F.sum("total").alias("total"))
