@@ -64,20 +64,6 @@ def levels(edges: DataFrame, source: str, target: str, rounds: int = 1000) -> Da
     return done if done is not None else everything.withColumn("level", F.lit(0)).limit(0)
 
 
-def on_cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """node, cycle: the nodes on cycles, each with the least node of its strongly connected component."""
-    pairs = reachable(edges, source, target)
-    back = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    both = pairs.join(back, ["a", "b"], "left_semi")
-    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("cycle"))
-
-
-def entry_points(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """node: those that nothing leads to."""
-    links = _edges(edges, source, target)
-    return links.select(F.col("a").alias("node")).distinct().join(links.select(F.col("b").alias("node")), "node", "left_anti")
-
-
 def _trimmed(links: DataFrame) -> DataFrame:
     """The edges (a, b) left when those from nodes without in-edges and to nodes without out-edges are taken off again and again."""
     links, size = cut(links), -1
@@ -88,6 +74,89 @@ def _trimmed(links: DataFrame) -> DataFrame:
     return links
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """node, cycle: strongly connected components of two nodes or more, by forward and backward propagation.
+
+    Each node takes the least node that leads to it; where that is a node itself, those of its colour that lead back to
+    it are its component. Then the components and the edges between colours go, and what is left is coloured again.
+    """
+    found = None
+    while not (links := _trimmed(links)).isEmpty():
+        colours = cut(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().withColumn("cycle", F.col("node")))
+        moved = colours
+        while not moved.isEmpty():
+            lower = links.join(moved.select(F.col("node").alias("a"), "cycle"), "a").groupBy(F.col("b").alias("node")).agg(F.min("cycle").alias("lower"))
+            both = cut(colours.join(lower, "node", "left").select("node", F.least("cycle", "lower").alias("cycle"), (F.col("lower") < F.col("cycle")).alias("moved")))
+            colours, moved = both.select("node", "cycle"), both.where("moved").select("node", "cycle")
+        links = links.join(colours.select(F.col("node").alias("a"), "cycle"), "a").join(colours.select(F.col("node").alias("b"), F.col("cycle").alias("other")), "b")
+        links = cut(links.where("cycle = other").select("a", "b"))
+        back = step = cut(colours.where("node = cycle"))
+        while not step.isEmpty():
+            step = links.join(step.select(F.col("node").alias("b"), "cycle"), "b").select(F.col("a").alias("node"), "cycle").distinct()
+            step = cut(step.join(back.select("node"), "node", "left_anti"))
+            back = cut(back.unionByName(step))
+        many = back.groupBy("cycle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cycle")
+        ended = back.join(many, "cycle", "left_semi").select("node", "cycle")
+        found = cut(ended if found is None else found.unionByName(ended))
+        links = links.join(back.select(F.col("node").alias("a")), "a", "left_anti").join(back.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+    return found if found is not None else links.select(F.col("a").alias("node"), F.col("b").alias("cycle"))
+
+
+def on_cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """node, cycle: the nodes on cycles, each with the least node of its strongly connected component.
+
+    Nodes with one way on only are first taken together with the node where their chain ends, by pointers that double
+    each round, so that a long cycle of n nodes takes log n rounds; nothing grows with the closure.
+    """
+    links = _edges(edges, source, target)
+    alone = cut(links.where("a = b").select(F.col("a").alias("node")))
+    found = _looped(links.where("a <> b"))
+    return found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("cycle")))
+
+
+def _looped(links: DataFrame) -> DataFrame:
+    """``on_cycles`` of edges (a, b) without those from a node to itself."""
+    links = _trimmed(links)
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("cycle"))
+    single = lambda end: links.groupBy(end).count().where("count = 1").count()
+    onward, inward, size = single("a"), single("b"), links.select("a").distinct().count()
+    if max(onward, inward) < size / 10:
+        return _components(links)
+    if inward > onward:  # the components of the reversed graph are the same
+        links = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    # Where a node's chain leads: a node with several ways on stays where it is.
+    ways = links.groupBy("a").agg(F.min("b").alias("b"), (F.count(F.lit(1)) > 1).alias("fork"))
+    jumps = [cut(ways.select("a", F.when(F.col("fork"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("a").alias("low")))]
+    forks = cut(ways.where("fork").select("a"))
+    for _ in range((size - 1).bit_length()):
+        far = jumps[-1].select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("low").alias("lower"))
+        jumps.append(cut(jumps[-1].join(far, "b").select("a", F.col("c").alias("b"), F.least("low", "lower").alias("low"))))
+    heads = jumps[-1]
+    # Chains that come to no fork go round; the nodes they end at are those on the cycles.
+    rings = heads.join(heads.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(forks, "a", "left_anti")
+    rings = cut(rings.select(F.col("a").alias("node"), F.col("low").alias("cycle")))
+    ends = heads.join(forks.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("a").alias("b"), F.col("b").alias("head"))
+    core = cut(links.join(forks, "a", "left_semi").join(ends, "b").select("a", "b", "head"))
+    if core.isEmpty():
+        return rings
+    inner = cut(on_cycles(core, "a", "head"))
+    # A chain's nodes belong to a component if the chain leads from one of its forks to another, or the same.
+    label = lambda name, tag: inner.select(F.col("node").alias(name), F.col("cycle").alias(tag))
+    passed = cut(core.join(label("a", "cycle"), "a").join(label("head", "other"), "head").where("cycle = other").select(F.col("b").alias("node"), "cycle").distinct())
+    for jump in jumps:
+        passed = cut(passed.unionByName(passed.join(jump.select(F.col("a").alias("node"), "b"), "node").select(F.col("b").alias("node"), "cycle")).distinct())
+    members = cut(inner.unionByName(passed).distinct())
+    least = members.groupBy("cycle").agg(F.min("node").alias("least"))
+    return rings.unionByName(members.join(least, "cycle").select("node", F.col("least").alias("cycle")))
+
+
+def entry_points(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """node: those that nothing leads to."""
+    links = _edges(edges, source, target)
+    return links.select(F.col("a").alias("node")).distinct().join(links.select(F.col("b").alias("node")), "node", "left_anti")
+
+
 def _opened(links: DataFrame, own: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, own) without cycles: every node on one gets what its paths within its component collect, and their ways out.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.operators import graph
+from lodestream.plans.registry import QUERIES
 
 
 def cost_of(node, links, costs, seen=()):
@@ -35,3 +37,48 @@ def test_path_costs_on_cycles(spark, seed):
     links = [(0, 1, 1.0), (1, 2, 10.0), (2, 0, 1.0), (3, 0, 2.0), (2, 4, 1.0), (4, 4, 3.0)]
     links += [(pick.randrange(12), pick.randrange(12), pick.choice([1.0, 10.0])) for _ in range(8)]
     assert path_costs(spark, links, costs) == pytest.approx({n: cost_of(n, links, costs) for n in costs})
+
+
+def components(links):
+    """By the closure: each node that reaches itself, with the least node that it reaches and that reaches it."""
+    reach = {(a, b) for a, b in links}
+    while longer := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
+        reach |= longer
+    return {a: min(c for b, c in reach if b == a and (c, a) in reach) for a, b in reach if a == b}
+
+
+def cycles(spark, links):
+    rows = graph.on_cycles(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    got = {r.node: r.cycle for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("nodes, edges", [(6, 8), (30, 33), (30, 45), (12, 60), (5, 2)])
+def test_cycles(spark, nodes, edges):
+    pick = random.Random(nodes * edges)
+    links = [(pick.randrange(nodes), pick.randrange(nodes)) for _ in range(edges)]
+    assert cycles(spark, links) == components(links)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_cycles_joined_by_chains(spark, forward):
+    links = [(3, 20), (20, 21), (21, 1), (1, 3), (1, 22), (22, 23), (23, 3), (23, 0), (0, 40), (40, 41), (41, 40), (5, 3), (50, 50), (50, 51), (51, 52), (52, 50)]
+    links = links if forward else [(b, a) for a, b in links]
+    assert cycles(spark, links) == components(links)
+
+
+def test_cycles_cover_every_part(spark, tmp_path):
+    spark.range(1001).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.node: r.cycle for r in QUERIES["G02_cycles"](spark, str(tmp_path)).collect()}
+    least = {}
+    for start in range(1000):  # every node has one way on: what a thousand steps lead to is on a cycle
+        node = start
+        for _ in range(1000):
+            node = (node * 7 + 3) % 1000
+        if node not in least:
+            ring = [node]
+            while (node := (node * 7 + 3) % 1000) != ring[0]:
+                ring.append(node)
+            least |= dict.fromkeys(ring, min(ring))
+    assert got == least and len(got) > 200
