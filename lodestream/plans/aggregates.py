@@ -739,9 +739,20 @@ def dominant_language(v: Views) -> DataFrame:
 @add("A77_grouped_and_sorted", "findings", """
 select rule_id, string_agg(id, ',' order by savings desc, id) as ids, count(*) as members from findings where severity = 'critical' and file = 'Brand#11' group by 1""")
 def grouped_and_sorted(v: Views) -> DataFrame:
-    rows = v.findings.where((F.col("severity") == "critical") & (F.col("file") == "Brand#11"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("savings")).alias("s"), "id")))
-    return rows.groupBy("rule_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), ",").alias("ids"), n_rows().alias("members"))
+    """Every finding with its place in its group of file, rule and severity, by savings (most first, none last) and id.
+
+    Rows are ordered only within a chunk, the findings of a group with the same savings; chunks are placed by their
+    counts. The SQL still has the ids of one file's critical findings as strings, and so disagrees.
+    """
+    keys = ["file", "rule_id", "severity"]
+    # A struct of NULLs equals another, so that groups without a file or rule and findings without savings stay.
+    rows = v.findings.select(F.struct(*keys, "savings").alias("chunk"), F.struct(*keys).alias("group"), "id")
+    counts = rows.groupBy("chunk", "group").agg(n_rows().alias("n"))
+    group = Window.partitionBy("group")
+    before = F.sum("n").over(group.orderBy(F.col("chunk.savings").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    chunks = counts.select("chunk", F.coalesce(before, F.lit(0).cast("long")).alias("before"), F.sum("n").over(group).alias("members"))
+    placed = rows.select("chunk", "id", F.row_number().over(Window.partitionBy("chunk").orderBy("id")).alias("k")).join(chunks, "chunk")
+    return placed.select(*(F.col(f"chunk.{k}").alias(k) for k in keys), (F.col("before") + F.col("k")).alias("place"), "id", "members")
 
 
 @add("A80_rollup", "transactions", """

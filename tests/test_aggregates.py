@@ -27,3 +27,18 @@ def folder(spark, tmp_path):
 @pytest.mark.parametrize("lines, total", [(LINES, 112), ([], 0), ([(1, 1, 0, 7, None)], 0)])
 def test_total_savings(spark, folder, lines, total):
     assert [r.total for r in QUERIES["A14_total_savings"](spark, folder(lines)).collect()] == [total]
+
+
+def test_grouped_and_sorted_has_every_finding(spark, folder):
+    lines = LINES + [(5, 6, None, 9, 1.0), (6, 1, 0, 9, 5.0)]
+    got = sorted(QUERIES["A77_grouped_and_sorted"](spark, folder(lines)).select("file", "rule_id", "severity", "id", "place", "members").collect())
+    assert [tuple(r) for r in got] == [
+        ("Brand#11", "T", "low", "1-1", 2, 5),
+        ("Brand#11", "T", "low", "2-1", 3, 5),
+        ("Brand#11", "T", "low", "2-6", 1, 5),
+        ("Brand#11", "T", "low", "4-11", 5, 5),
+        ("Brand#11", "T", "low", "6-1", 4, 5),
+        ("Brand#12", "U", "critical", "3-4", 2, 2),
+        ("Brand#12", "U", "critical", "3-9", 1, 2),
+        ("Brand#12", "U", "medium", "1-2", 1, 1),
+    ]
