@@ -13,6 +13,9 @@ from lodestream.session import cut
 #: its names and numbers aside, or if it stands as a line of its own at the head of so many other texts. Exact copies
 #: of a text count once in both.
 WHOLE_SHARE = 0.005
+#: A source with so many unterminated texts is its own baseline for that share, besides what is usual in the corpus
+#: without the source that has the form most often; the others have the corpus's.
+SOURCE_LEAST = 1000
 WHOLE_LINES = 2
 #: An ending of fewer words than this is never taken for a sign-off.
 WHOLE_WORDS = 2
@@ -144,8 +147,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Texts are read whole. A text is cut off if its structure stays open at its end, if it ends in a broken character or
     escape or in a sign that more follows, or if its last sentence or line has no terminator and isn't one of the
-    corpus's usual whole endings (titles, sign-offs, trailing-off sentences). Those are found over all texts: endings
-    whose form makes up ``WHOLE_SHARE`` of all unterminated ones, or that other texts have as a line of their own.
+    usual whole endings (titles, sign-offs, trailing-off sentences). Those are endings whose form makes up
+    ``WHOLE_SHARE`` of the unterminated ones of its source (of all, if the source has fewer than ``SOURCE_LEAST``), or of
+    all without the source that has the form most often, or that other texts, of any source, have as a line of their own.
     Exact copies count as one text there, so that a cut text doesn't become usual by being copied.
 
     NULL texts are left out; empty ones are whole. Repeated keys are judged row by row.
@@ -158,17 +162,26 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     )
     # Both the baseline and the verdicts need the endings; the texts are read and parsed once.
     ends = cut(ends.select("doc_id", "source", "copy", "chars", "verdict", form(F.col("tail")).alias("form")))
-    tails = ends.where(F.col("verdict") == "tail").groupBy("form").agg(F.count_distinct("copy").alias("n"))
-    all_tails = tails.agg(F.sum("n").alias("all"))
+    tails = ends.where(F.col("verdict") == "tail")
+    own = tails.groupBy("source", "form").agg(F.count_distinct("copy").alias("n"))
+    sources = own.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("all"))
+    owned = own.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    most = owned.groupBy("form").agg(F.max(F.struct("n", "all")).alias("most"))
+    everywhere = tails.groupBy("form").agg(F.count_distinct("copy").alias("n_everywhere")).join(most, "form")
     # One row, whatever the corpus holds.
-    usual = tails.join(F.broadcast(all_tails)).where(F.col("n") >= F.greatest(F.col("all") * WHOLE_SHARE, F.lit(2)))
-    usual = usual.where(F.size(F.split("form", r"\s+")) >= WHOLE_WORDS).select("form")
+    everything = everywhere.agg(F.sum("n_everywhere").alias("all_everywhere"))
+    kept = owned.join(everywhere, "form").join(F.broadcast(everything))
+    enough = lambda n, of: n >= F.greatest(of * WHOLE_SHARE, F.lit(2))
+    elsewhere = enough(F.col("n_everywhere") - F.col("most.n"), F.col("all_everywhere") - F.col("most.all"))
+    by_source = enough(F.col("n"), F.col("all")) | elsewhere
+    usual = kept.where(F.when(F.col("all") >= SOURCE_LEAST, by_source).otherwise(enough(F.col("n_everywhere"), F.col("all_everywhere"))))
+    usual = usual.where(F.size(F.split("form", r"\s+")) >= WHOLE_WORDS).select("source", "form")
     line = F.regexp_extract("text", rf"^([^\n]{{1,{TITLE_CHARS}}})\r?\n", 1)
     lines = rows.select(form(line).alias("form"), "copy").where((F.col("form") != "") & ~F.col("form").rlike(_END))
     titles = lines.groupBy("form").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= WHOLE_LINES).select("form")
-    titles = titles.join(tails.select("form"), "form", "left_semi")
-    whole = usual.unionByName(titles).distinct().withColumn("known", F.lit(True))
-    placed = ends.join(whole, "form", "left")
+    titles = own.select("source", "form").join(titles, "form", "left_semi").select("source", "form")
+    whole = usual.unionByName(titles).distinct().select(F.col("source").alias("s"), F.col("form").alias("known"))
+    placed = ends.join(whole, (F.col("form") == F.col("known")) & F.col("source").eqNullSafe(F.col("s")), "left")
     ended = (F.col("verdict") == "cut") | ((F.col("verdict") == "tail") & F.col("known").isNull())
     reason = F.when(ended, F.when(F.col("verdict") == "cut", F.lit("structure")).otherwise(F.lit("ending")))
     return placed.select("doc_id", "source", "chars", ended.alias("truncated"), reason.alias("reason"))

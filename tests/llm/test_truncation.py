@@ -78,6 +78,18 @@ def test_copies_of_a_cut_text_are_no_baseline(spark):
     assert got == {*range(600), 900}
 
 
+def test_sources_have_baselines_of_their_own(spark):
+    pick = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "zeta", "iota"]
+    sentence = lambda: " ".join(pick.choice(words) for _ in range(12)).capitalize()
+    rows = [("big", sentence()) for _ in range(3000)] + [("own", sentence()) for _ in range(1000)]
+    rows += [("own", f"{sentence()}. Yours, the desk") for _ in range(10)] + [("big", f"{sentence()}. See also the") for _ in range(30)]
+    rows += [("own", f"{sentence()}. See also the"), ("few", f"{sentence()}. See also the"), (None, f"{sentence()}. See also the")]
+    got = {r.doc_id for r in judge(spark, rows).where("truncated").collect()}
+    # The desk's ten letters are usual in their source; what is usual in the large source isn't in the other of 1,000.
+    assert got == {*range(4000), 4040}
+
+
 def test_rates_and_limits(spark):
     rows = [("a", "x y" * 40 + "zz")] * 30 + [("a", "Done.")] * 70 + [("b", "Done.")] * 5 + [(None, "Done."), ("b", None), ("b", "")]
     got = {r.source: r for r in t.truncation_rates(judge(spark, [(s, x if x is None or len(x) < 10 else f"{i} {x[:-len(str(i))]}") for i, (s, x) in enumerate(rows)])).collect()}
