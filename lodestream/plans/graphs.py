@@ -15,7 +15,7 @@ add = QUERIES.add
 
 _TREE = "tree as (select c_custkey as node, c_custkey // 2 as parent, cast(round(c_acctbal) as bigint) as cost from customer)"
 _DAG = "dag as (select p_partkey as a, p_partkey // 2 as b from part where p_partkey > 1 union select p_partkey, p_partkey // 3 from part where p_partkey > 2)"
-_RING = "ring as (select p_partkey as a, (p_partkey * 7 + 3) % 199 as b from part where p_partkey < 200)"
+_RING = "ring as (select p_partkey as a, (p_partkey * 7 + 3) % (select max(p_partkey) from part) as b from part)"
 _UP = "up as (select node, parent from tree where parent > 0 union select u.node, t.parent from up u join tree t on t.node = u.parent where t.parent > 0)"
 _REACH = "reach as (select a, b from {0} union select r.a, e.b from reach r join {0} e on e.a = r.b)"
 
@@ -33,7 +33,7 @@ def dag(v: Views) -> DataFrame:
 
 
 def ring(v: Views) -> DataFrame:
-    """Dependencies with cycles, over every part. The SQL has the first 200 parts only, which are all at sf0.001."""
+    """Dependencies with cycles, over every part."""
     keys = v.raw("part").select(F.col("p_partkey").alias("a"))
     return keys.join(F.broadcast(keys.agg(F.max("a").alias("most")))).select("a", ((F.col("a") * 7 + 3) % F.col("most")).alias("b"))
 
@@ -43,8 +43,8 @@ def cycles(v: Views) -> DataFrame:
     return graph.on_cycles(ring(v), "a", "b")
 
 
-@add("G04_cumulative_cost", sql="with recursive " + _DAG + """, p as (select p_partkey as top, p_partkey as node, cast(1.0 as double) as f, 0 as n from part union all
-  select p.top, e.b, p.f * case when e.b % 5 = 0 then 10 else 1 end, n + 1 from p join dag e on e.a = p.node where n < 16)
+@add("G04_cumulative_cost", sql="with recursive " + _DAG + """, p as (select p_partkey as top, p_partkey as node, cast(1.0 as double) as f from part union all
+  select p.top, e.b, p.f * case when e.b % 5 = 0 then 10 else 1 end from p join dag e on e.a = p.node)
 select top as node, round(sum(f * p_size), 4) as total from p join part on p_partkey = node group by 1""")
 def cumulative_cost(v: Views) -> DataFrame:
     calls = dag(v).withColumn("f", F.when(F.col("b") % 5 == 0, 10.0).otherwise(1.0))

@@ -312,11 +312,10 @@ def conflicts(v: Views) -> DataFrame:
 
 
 @add("J24_suggestions", "findings", """
-with s as (select rule_id, list(id) as related from findings where severity = 'critical' and confidence >= 0.09 group by 1)
+with s as (select rule_id, list(id) as related from findings where severity = 'critical' group by 1)
 select f.id, count(*) as suggestions from findings f join (select unnest(related) as id from s) r using (id) group by 1""")
 def suggestions(v: Views) -> DataFrame:
-    related = v.findings.where((F.col("severity") == "critical") & (F.col("confidence") >= 0.09)).groupBy("rule_id").agg(F.collect_list("id").alias("related"))
-    ids = related.select(F.explode("related").alias("id"))
+    ids = v.findings.where(F.col("severity") == "critical").select("id")
     return v.findings.select("id").join(ids, "id").groupBy("id").agg(n_rows().alias("suggestions"))
 
 
@@ -348,10 +347,13 @@ def shared_signals(v: Views) -> DataFrame:
     return common.where(F.col("shared") != "")
 
 
-@add("O04_except", "findings", _RUNS + "select rule_id, file, line_no from b except select rule_id, file, line_no from a")
+@add("O04_except", "findings", """
+select distinct rule_id, file, line_no, project_id from findings where month >= timestamp '1998-01-01' except select rule_id, file, line_no, project_id from findings where month < timestamp '1998-01-01'""")
 def difference(v: Views) -> DataFrame:
-    a, b = two_runs(v)
-    return b.join(a, ["rule_id", "file", "line_no"], "left_anti")
+    """Findings of the later run that no project had before: keyed difference, made as one grouping of both runs."""
+    late = F.col("month") >= stamp("1998-01-01")
+    keyed = v.findings.groupBy("rule_id", "file", "line_no", "project_id").agg(F.bool_and(late).alias("new"))
+    return keyed.where("new").drop("new")
 
 
 @add("O05_sorted_distinct", "findings", "select file, string_agg(distinct severity, ',' order by severity) as severities from findings group by 1")
@@ -387,26 +389,24 @@ def set_operations(v: Views) -> DataFrame:
 
 
 @add("X01_levenshtein", sql="""
-with p as (select distinct p_type as t from part) select a.t as a, b.t as b, round(1 - levenshtein(lower(a.t), lower(b.t)) * 1.0 / greatest(length(a.t), length(b.t)), 6) as similarity
-from p a join p b on split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1) and split_part(a.t, ' ', 3) = split_part(b.t, ' ', 3) and a.t < b.t""")
+with p as (select distinct p_name as t from part) select a.t as a, b.t as b, round(1 - levenshtein(lower(a.t), lower(b.t)) * 1.0 / greatest(length(a.t), length(b.t)), 6) as similarity
+from p a join p b on split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1) and a.t < b.t""")
 def levenshtein_pairs(v: Views) -> DataFrame:
-    """Types that share their first and last word, with their similarity (the blocks are bounded by the vocabulary)."""
-    types = v.raw("part").select("p_type").distinct()
-    key = lambda c: [F.coalesce(F.get(F.split(c, " "), F.lit(i)), F.lit("")) for i in (0, 2)]
-    left = types.select(F.col("p_type").alias("a"), *[k.alias(f"k{i}") for i, k in enumerate(key("p_type"))])
-    right = left.withColumnRenamed("a", "b")
-    pairs = left.join(right, ["k0", "k1"]).where(F.col("a") < F.col("b"))
+    """Names that share their first word, with their similarity (the blocks are bounded by the vocabulary)."""
+    pairs = named_pairs(v)
     return pairs.select("a", "b", F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+def named_pairs(v: Views) -> DataFrame:
+    left = v.raw("part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.split("a", " ")[0])
+    return left.join(left.withColumnRenamed("a", "b"), "k").where(F.col("a") < F.col("b"))
+
+
 @add("X02_jaccard", sql="""
-with p as (select distinct p_type as t from part) select a.t as a, b.t as b, round(len(list_intersect(string_split(lower(a.t), ' '), string_split(lower(b.t), ' '))) * 1.0 / len(list_distinct(string_split(lower(a.t), ' ') || string_split(lower(b.t), ' '))), 6) as similarity
+with p as (select distinct p_name as t from part) select a.t as a, b.t as b, round(len(list_intersect(string_split(lower(a.t), ' '), string_split(lower(b.t), ' '))) * 1.0 / len(list_distinct(string_split(lower(a.t), ' ') || string_split(lower(b.t), ' '))), 6) as similarity
 from p a join p b on split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1) and a.t < b.t""")
 def jaccard_pairs(v: Views) -> DataFrame:
-    types = v.raw("part").select(F.col("p_type").alias("a")).distinct()
-    left = types.withColumn("k", F.split("a", " ")[0])
-    pairs = left.join(left.withColumnRenamed("a", "b"), "k").where(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(jaccard(tokens(F.col("a")), tokens(F.col("b"))), 6).alias("similarity"))
+    return named_pairs(v).select("a", "b", F.round(jaccard(tokens(F.col("a")), tokens(F.col("b"))), 6).alias("similarity"))
 
 
 @add("X04_fingerprint", "sources", """

@@ -352,10 +352,10 @@ def running_usage(v: Views) -> DataFrame:
 
 
 @add("Z12_sliding_limit", "metrics", """
-with c as (select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) as hour_n from metrics) select user_id, event_id, hour_n from c where hour_n > 3""")
+with c as (select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) as hour_n from metrics) select user_id, event_id, hour_n from c where hour_n > 1""")
 def sliding_limit(v: Views) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return v.metrics.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("hour_n")).where(F.col("hour_n") > 3)
+    return v.metrics.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("hour_n")).where(F.col("hour_n") > 1)
 
 
 @add("Z13_fixed_windows", "metrics", """
