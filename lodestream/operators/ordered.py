@@ -24,21 +24,31 @@ def with_next(df: DataFrame, keys: list[str], order: str, chunk: Column, value:
     )
 
 
-def with_places(df: DataFrame, keys: list[str], order: list[str], chunk: str, counted: dict[str, str]) -> DataFrame:
-    """Add, for each ``counted`` column, the row's zero-based place in its group among the rows where that column isn't NULL.
+def chunk_counts(df: DataFrame, keys: list[str], chunk: str, counted: dict[str, str]) -> DataFrame:
+    """keys, chunk and, for each ``counted`` column, the rows of the group that have it: ``before_``name in earlier chunks, ``all_``name.
 
-    ``counted`` maps new names to columns; where a column is NULL its place is that of the next counted row. ``chunk``
-    is a column that must not decrease with ``order``; ties in ``order`` need a unique last column. Each chunk is
-    numbered in its own task and shifted by the counts of the group's earlier chunks, of which only the counts are
-    ordered. Keys must not be NULL.
+    ``counted`` maps names to columns. One row for each group and chunk; only those are ordered over a group.
+    """
+    counts = df.groupBy(*keys, chunk).agg(*[F.count(c).alias(n) for n, c in counted.items()])
+    over = Window.partitionBy(*keys)
+    before = over.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        *keys, chunk, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in counted],
+        *[F.sum(n).over(over).alias(f"all_{n}") for n in counted],
+    )
+
+
+def with_places(df: DataFrame, keys: list[str], order: list[str], chunk: str, counted: dict[str, str], counts: DataFrame) -> DataFrame:
+    """Add all columns of ``counts`` and, for each ``counted`` column, the row's zero-based place ``at_``name in its group.
+
+    Only rows where that column isn't NULL have a place; another gets that of the next one. ``chunk`` is a column that
+    must not decrease with ``order``; ties in ``order`` need a unique last column. Each chunk is numbered in its own
+    task and shifted by ``counts``, made by :func:`chunk_counts`. Keys must not be NULL.
     """
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select("*", *[F.count(c).over(inside).alias(f"__in_{n}") for n, c in counted.items()])
-    counts = df.groupBy(*keys, chunk).agg(*[F.count(c).alias(f"__all_{n}") for n, c in counted.items()])
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, chunk, *[F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in counted])
+    rows = df.select("*", *[F.count(c).over(inside).alias(f"in_{n}") for n, c in counted.items()])
     placed = rows.join(counts, [*keys, chunk])
-    return placed.select(*df.columns, *[(F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(n) for n in counted])
+    return placed.withColumns({f"at_{n}": F.col(f"before_{n}") + F.col(f"in_{n}") for n in counted}).drop(*[f"in_{n}" for n in counted])
 
 
 def without_repeats(df: DataFrame, keys: list[str], order: list[str], chunk: str) -> DataFrame:

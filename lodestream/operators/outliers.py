@@ -7,18 +7,30 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.operators.ordered import with_places, without_repeats
+from lodestream.operators.ordered import chunk_counts, with_places, without_repeats
 
 #: Rows on either side of a reading in its rolling window.
 HALF = 25
 #: Readings of one source and measure that one group holds, beside the 2 * HALF of its neighbours.
-BLOCK = 20_000
-#: A reading is a candidate if it is more than this many MADs from its rolling median (see `flag_implausible`).
-SCREEN = 1.0
+BLOCK = 50_000
+#: A reading is a spike if it is more than this many scales from its rolling median (see `flag_implausible`).
+MADS = 3.0
+#: The scale's bounds, as shares of the width of the source's ordinary range.
+LEAST, MOST = 1 / 6, 1 / 3
 #: A source is sorted day by day, each day in its own task.
 CHUNK_US = 86_400_000_000
-#: Width, in decades, of the bins in which a source's ordinary range is sought; their extremes are exact.
-BIN = 0.005
+#: Width, in decades, of the bins in which the ordinary range of a source of more than one block is sought.
+BIN = 0.0005
+
+
+def _middle(windows):
+    """The median of each row, NaN aside; NaN for a row of nothing else."""
+    import numpy as np
+
+    held = np.sort(windows, axis=1)  # NaN comes last
+    n = windows.shape[1] - np.isnan(windows).sum(axis=1)
+    row = np.arange(len(held))
+    return np.where(n > 0, (held[row, np.maximum(n - 1, 0) // 2] + held[row, np.minimum(n // 2, windows.shape[1] - 1)]) / 2, np.nan)
 
 
 def _rolling(values, half: int):
@@ -27,17 +39,13 @@ def _rolling(values, half: int):
     from numpy.lib.stride_tricks import sliding_window_view
 
     n = len(values)
-    width = 2 * half + 1
-    padded = np.concatenate([np.full(half, np.nan), values, np.full(half, np.nan)])
+    windows = sliding_window_view(np.concatenate([np.full(half, np.nan), values, np.full(half, np.nan)]), 2 * half + 1)
     median, mad = np.empty(n), np.empty(n)
-    step = max(1, 2_000_000 // width)  # rows of the window matrix held at once
+    step = max(1, 2_000_000 // (2 * half + 1))  # rows of the window matrix held at once
     for i in range(0, n, step):
-        window = sliding_window_view(padded[i : min(n, i + step) + 2 * half], width)
-        full = not np.isnan(window).any()
-        middle = np.median if full else np.nanmedian
-        m = middle(window, axis=1)
-        median[i : i + step] = m
-        mad[i : i + step] = middle(np.abs(window - m[:, None]), axis=1)
+        part = windows[i : i + step]
+        median[i : i + step] = _middle(part)
+        mad[i : i + step] = _middle(np.abs(part - median[i : i + step, None]))
     return median, mad
 
 
@@ -52,33 +60,65 @@ def _run_lengths(values):
     return np.repeat(lengths, lengths)
 
 
-def _screen(half: int, block: int) -> Callable[[Iterator], Iterator]:
-    """Over a partition sorted by source, measure, block and place: rolling score and run length of a block's own rows."""
+def _ordinary(logs):
+    """The span of the readings within one inter-decile width of the deciles, of a whole source: (low, high)."""
+    import numpy as np
+
+    if not len(logs):
+        return np.nan, np.nan
+    held = np.sort(logs)
+    first, ninth = held[-(-len(held) // 10) - 1], held[-(-len(held) * 9 // 10) - 1]
+    width = ninth - first
+    inside = held[(held >= first - width) & (held <= ninth + width)]
+    return inside[0], inside[-1]
+
+
+def _windows(names: list[str], half: int, block: int, least_rows: int, least_run: int, mads: float) -> Callable[[Iterator], Iterator]:
+    """Over a partition sorted by source, block and place: the findings among a block's own rows.
+
+    A source of one block is held against its exact range and variety, a larger one against those it comes with.
+    """
+
+    def judge(pdf, i, name, out):
+        import numpy as np
+
+        block_no, column = int(pdf["__block"].iloc[0]), lambda c: pdf[f"{c}{i}"].to_numpy()
+        at = column("at_")
+        rows = np.flatnonzero(~np.isnan(column("v").astype("float64")) & (at >= block_no * block - half) & (at < (block_no + 1) * block + half))
+        if not len(rows):
+            return
+        value, possible, own = column("v")[rows].astype("float64"), column("ok")[rows].astype(bool), at[rows] // block == block_no
+        run, fit = _run_lengths(value), np.flatnonzero(possible & (value > 0))
+        log, gap, scale = (np.full(len(rows), np.nan) for _ in range(3))
+        log[fit] = np.log10(value[fit])
+        if column("all_")[rows[0]] > block:
+            low, high, varied = (pdf[f"{c}{i}"].iloc[0] for c in ("low", "high", "varied"))
+        else:
+            (low, high), varied = _ordinary(log[fit]), len(np.unique(value)) * 2 >= len(value)
+        if len(fit):
+            median, mad = _rolling(log[fit], half)
+            gap[fit], scale[fit] = np.abs(log[fit] - median), np.clip(mad, LEAST * (high - low), MOST * (high - low))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far, score = gap > mads * scale, gap / scale
+            excess = np.maximum(log - high, low - log) - (high - low)
+        many = pdf["all_row"].iloc[0] >= least_rows
+        for reason, hit in (("impossible", ~possible), ("spike", far & many), ("stuck", (run >= least_run) & bool(varied) & many)):
+            hit = np.flatnonzero(hit & own)
+            if len(hit):
+                spike = (score[hit], excess[hit]) if reason == "spike" else (None, None)
+                out.append(pdf[["__row", "__src"]].iloc[rows[hit]].assign(measure=name, reason=reason, score=spike[0], excess=spike[1]))
 
     def finish(pdf):
         import numpy as np
         import pandas as pd
 
-        keys = pdf[["__src", "__measure", "__block"]]
-        change = (keys != keys.shift()).any(axis=1).to_numpy()
-        bounds = np.append(np.flatnonzero(change), len(pdf))
-        value = pdf["__value"].to_numpy(dtype="float64")
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log = np.where(pdf["__fit"].to_numpy(dtype=bool), np.log10(value), np.nan)
-        score, length = np.full(len(pdf), np.nan), np.zeros(len(pdf), dtype="int64")
-        for i, j in zip(bounds[:-1], bounds[1:]):
-            length[i:j] = _run_lengths(value[i:j])
-            fit = np.flatnonzero(~np.isnan(log[i:j])) + i
-            if len(fit):
-                median, mad = _rolling(log[fit], half)
-                gap = np.abs(log[fit] - median)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score[fit] = np.where(gap == 0, 0.0, gap / mad)
-        own = (pdf["__at"].to_numpy() // block) == pdf["__block"].to_numpy()
-        frame = pd.DataFrame(
-            {"__row": pdf["__row"], "__src": pdf["__src"], "__measure": pdf["__measure"], "__log": log, "__score": score, "__run": length}
-        )
-        return frame[own]
+        keys, out = pdf[["__src", "__block"]], []
+        bounds = np.append(np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()), len(pdf))
+        for first, last in zip(bounds[:-1], bounds[1:]):
+            for i, name in enumerate(names):
+                judge(pdf.iloc[first:last], i, name, out)
+        if out:
+            return pd.concat([f.astype({"score": "float64", "excess": "float64"}) for f in out], ignore_index=True)
 
     def run(batches):
         import pandas as pd
@@ -88,17 +128,46 @@ def _screen(half: int, block: int) -> Callable[[Iterator], Iterator]:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            tail = pdf[["__src", "__measure", "__block"]].iloc[-1]
-            last = (pdf["__src"] == tail.iloc[0]) & (pdf["__measure"] == tail.iloc[1]) & (pdf["__block"] == tail.iloc[2])
+            last = (pdf["__src"] == pdf["__src"].iloc[-1]) & (pdf["__block"] == pdf["__block"].iloc[-1])
             held = pdf[last]
-            if (~last).any():
-                yield finish(pdf[~last].reset_index(drop=True))
-        if held is not None and len(held):
-            yield finish(held.reset_index(drop=True))
+            if (~last).any() and (done := finish(pdf[~last].reset_index(drop=True))) is not None:
+                yield done
+        if held is not None and len(held) and (done := finish(held.reset_index(drop=True))) is not None:
+            yield done
 
     return run
 
 
+def _large_ranges(readings: DataFrame) -> DataFrame:
+    """Ordinary range and variety of sources too large for one task: __src, __measure, __varied, __low, __high.
+
+    ``readings`` has __src, __measure, __value and __fit. Values are counted before they are shuffled, and a source's
+    different values (for ``__varied``) once more by bin; only bins are ordered. A decile lies in its bin's extremes.
+    """
+    by = ["__src", "__measure"]
+    values = readings.groupBy(*by, "__value", "__fit").agg(F.count(F.lit(1)).alias("__c"))
+    log = F.when(F.col("__fit"), F.log10("__value"))
+    bins = values.select(*by, "__c", log.alias("__l")).groupBy(*by, F.floor(F.col("__l") / BIN).alias("__bin")).agg(
+        F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__d"), F.min("__l").alias("__lo"), F.max("__l").alias("__hi")
+    )
+    over = Window.partitionBy(*by)
+    fits = F.when(F.col("__bin").isNotNull(), F.col("__n")).otherwise(0)
+    bins = bins.select(
+        *by, "__lo", "__hi", F.sum(fits).over(over.orderBy(F.col("__bin").asc_nulls_first())).alias("__upto"), F.sum(fits).over(over).alias("__fits"),
+        (F.sum("__d").over(over) * 2 >= F.sum("__n").over(over)).alias("__varied"),
+    )
+    decile = lambda share, edge: F.min(F.when(F.col("__upto") >= F.ceil(F.col("__fits") * share / 10), F.col(edge))).over(over)
+    bins = bins.select("*", decile(1, "__lo").alias("__q1"), decile(9, "__hi").alias("__q9"))
+    width = F.col("__q9") - F.col("__q1")
+    low, high = F.col("__q1") - width, F.col("__q9") + width
+    # A bin at the edge may hold both ordinary readings and others: its extremes count only inside the reach.
+    return bins.groupBy(*by).agg(
+        F.bool_or("__varied").alias("__varied"),
+        F.min(F.when(F.col("__lo") >= low, F.col("__lo")).when(F.col("__hi") >= low, F.col("__hi"))).alias("__low"),
+        F.max(F.when(F.col("__hi") <= high, F.col("__hi")).when(F.col("__lo") <= high, F.col("__lo"))).alias("__high"),
+    )
+
+
 def flag_implausible(
     df: DataFrame,
     key: str,
@@ -109,29 +178,35 @@ def flag_implausible(
     least_run: int = 6,
     half: int = HALF,
     block: int = BLOCK,
+    mads: float = MADS,
 ) -> DataFrame:
-    """The implausible readings of each source: key, source, measure, reason, score.
+    """The implausible readings of each source: key, source, measure, reason, score, excess.
 
     ``bounds`` gives each measure's condition of physical possibility. ``reason`` is
 
     - 'impossible': the condition is false (in sources of any size);
-    - 'spike': the reading lies beyond its source's ordinary range by more than that range's width, on a log scale.
-      Candidates are found by a Hampel filter: rolling median and median absolute deviation over 2 * ``half`` + 1
-      readings, more than ``SCREEN`` MADs away (``score``). A window most of whose readings are ordinary has its median
-      inside the ordinary range and a MAD of at most its width, so no spike is screened out. The ordinary range is the
-      span of the readings within one inter-decile width of the deciles;
+    - 'spike': by a Hampel filter on a log scale. The reading is more than ``mads`` scales from the rolling median of
+      2 * ``half`` + 1 readings. The scale is the window's median absolute deviation, but from ``LEAST`` to ``MOST``
+      times the width of the source's ordinary range: a calm stretch doesn't make ordinary readings spikes, nor does a
+      window that spans two ordinary levels hide one. ``score`` is the distance in scales. ``excess`` tells by how much
+      the reading lies further outside the ordinary range than that range is wide (negative: by how much less). The
+      ordinary range is the span of the readings within one inter-decile width of the deciles;
     - 'stuck': one of ``least_run`` or more successive equal readings, where a source's values rarely repeat (at least
-      half are distinct).
+      half are distinct, counted exactly).
 
     Spikes and stuck runs are sought in sources with ``least_rows`` rows or more. A repeated row (same key, source and
     time) counts once; rows with a NULL key or source are ignored, a NULL measure is no reading, and NULL times come
     first. Ties in time are ordered by key. An empty input gives an empty result.
 
     A source's readings are numbered day by day and cut into blocks of ``block`` with ``half`` neighbours on each side,
-    so a hot source is spread over tasks and no task holds more than a block. The ordinary range comes from counts and
-    extremes by source and bin, made before the shuffle. Rows are shuffled twice: to their day and to their block.
+    so a hot source is spread over tasks and no task holds more than a block. A source of one block is judged exactly;
+    the range of a larger one comes from its counted values, its deciles from bins of ``BIN`` decades (0.12 %), and
+    reaches its rows with the counts of their days. Rows are shuffled twice, to their day and to their block.
     """
     names = list(bounds)
+    n = len(names)
+    names = list(bounds)
+    n = len(names)
     rows = df.select(
         F.col(f"`{key}`").alias("__row"),
         F.col(f"`{source}`").alias("__src"),
@@ -140,77 +215,40 @@ def flag_implausible(
     ).where(F.col("__row").isNotNull() & F.col("__src").isNotNull())
     kinds = dict(rows.dtypes)
     tests = [F.coalesce(possible(F.col(f"__m{i}")), F.lit(False)) for i, possible in enumerate(bounds.values())]
-    wrong = F.filter(
-        F.array(*[F.when(F.col(f"__m{i}").isNotNull() & ~ok, F.lit(m)) for (i, m), ok in zip(enumerate(names), tests)]),
-        lambda x: x.isNotNull(),
-    )
-    impossible = rows.select("__row", "__src", F.explode(wrong).alias("__measure")).distinct()
-    impossible = impossible.select("__row", "__src", "__measure", F.lit("impossible").alias("reason"), F.lit(None).cast("double").alias("score"))
-
-    slim = rows.select(
-        "__row", "__src", "__t", F.floor(F.col("__t") / F.lit(CHUNK_US)).alias("__day"),
-        *[F.col(f"__m{i}").cast("double").alias(f"__v{i}") for i in range(len(names))],
-        *[ok.alias(f"__ok{i}") for i, ok in enumerate(tests)],
+    # One array for all measures, and a day that can't be NULL: no reader of the shuffle can prune or filter what goes
+    # into it, which would make it another shuffle.
+    held = F.array(*[F.col(f"__m{i}").cast("double") for i in range(n)], *[ok.cast("double") for ok in tests])
+    day = F.coalesce(F.floor(F.col("__t") / F.lit(CHUNK_US)), F.lit(0))
+    once = without_repeats(rows.select("__row", "__src", "__t", day.alias("__day"), held.alias("__held")), ["__src"], ["__t", "__row"], "__day")
+    once = once.select(
+        "__row", "__src", "__t", "__day", F.lit(1).alias("__one"), *[F.col("__held")[i].alias(f"v{i}") for i in range(n)],
+        *[(F.col("__held")[n + i] > 0).alias(f"ok{i}") for i in range(n)],
     )
-    once = without_repeats(slim, ["__src"], ["__t", "__row"], "__day")
-    placed = with_places(once, ["__src"], ["__t", "__row"], "__day", {f"__at{i}": f"__v{i}" for i in range(len(names))})
-
-    def melted(frame: DataFrame, *extra: str) -> DataFrame:
-        pieces = [
-            F.struct(
-                F.lit(m).alias("measure"), F.col(f"__v{i}").alias("value"), (F.col(f"__ok{i}") & (F.col(f"__v{i}") > 0)).alias("fit"),
-                *[F.col(f"{e}{i}").alias(e) for e in extra],
-            )
-            for i, m in enumerate(names)
-        ]
-        flat = frame.select("__row", "__src", F.explode(F.array(*pieces)).alias("__p")).select(
-            "__row", "__src", F.col("__p.measure").alias("__measure"), F.col("__p.value").alias("__value"), F.col("__p.fit").alias("__fit"),
-            *[F.col(f"__p.{e}").alias(e) for e in extra],
-        )
-        return flat.where(F.col("__value").isNotNull())
-
-    # Each reading goes to its own block and, near a border, to the neighbour's too; a block is no shorter than the reach.
-    at, block = F.col("__at"), max(block, half)
-    blocks = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-half), F.lit(half)), lambda d: F.floor((at + d) / block)))
-    spread = melted(placed, "__at").withColumn("__block", F.explode(blocks)).where(F.col("__block") >= 0)
-    order = ["__src", "__measure", "__block"]
-    scored = spread.repartition(*order).sortWithinPartitions(*order, "__at").mapInPandas(
-        _screen(half, block),
-        f"__row {kinds['__row']}, __src {kinds['__src']}, __measure string, __log double, __score double, __run long",
-    )
-    candidates = scored.where((F.col("__score") > SCREEN) | (F.col("__run") >= least_run))
-
-    # A source's ordinary range, from bins: counts, least and greatest of each.
-    log = F.when(F.col("__fit"), F.log10("__value"))
-    by = ["__src", "__measure"]
-    bins = melted(once).select(*by, log.alias("__log")).where(F.col("__log").isNotNull()).groupBy(*by, F.floor(F.col("__log") / BIN).alias("__bin")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__log").alias("__lo"), F.max("__log").alias("__hi")
-    )
-    over = Window.partitionBy(*by)
-    upto = F.sum("__n").over(over.orderBy("__bin"))
-    bins = bins.select("*", upto.alias("__upto"), F.sum("__n").over(over).alias("__fits"))
-    tenth, ninetieth = F.ceil(F.col("__fits") * 0.1), F.ceil(F.col("__fits") * 0.9)
-    bins = bins.select(
-        "*",
-        F.min(F.when(F.col("__upto") >= tenth, F.col("__lo"))).over(over).alias("__q1"),
-        F.min(F.when(F.col("__upto") >= ninetieth, F.col("__hi"))).over(over).alias("__q9"),
-    )
-    width = F.col("__q9") - F.col("__q1")
-    # A bin at the edge may hold both ordinary readings and others: its extremes count only inside the reach.
-    low, high = F.col("__q1") - width, F.col("__q9") + width
-    span = bins.groupBy(*by).agg(
-        F.min(F.when(F.col("__lo") >= low, F.col("__lo")).when(F.col("__hi") >= low, F.col("__hi"))).alias("__low"),
-        F.max(F.when(F.col("__hi") <= high, F.col("__hi")).when(F.col("__lo") <= high, F.col("__lo"))).alias("__high"),
+    block = max(block, half)  # a block is no shorter than the reach
+    counted = {"row": "__one", **{str(i): f"v{i}" for i in range(n)}}
+    days = chunk_counts(once, ["__src"], "__day", counted)
+
+    # Ranges of sources larger than a block, over only their rows; each joins its days.
+    large = days.where(F.greatest(F.lit(0), *[F.col(f"all_{i}") for i in range(n)]) > block).select("__src", "__day")
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), (F.col(f"ok{i}") & (F.col(f"v{i}") > 0)).alias("f")) for i in range(n)])
+    readings = once.join(large, ["__src", "__day"]).select("__src", F.explode(pieces).alias("p")).where(F.col("p.v").isNotNull())
+    ranges = _large_ranges(readings.select("__src", F.col("p.i").alias("__measure"), F.col("p.v").alias("__value"), F.col("p.f").alias("__fit")))
+    wide = ranges.groupBy("__src").agg(
+        *[F.max(F.when(F.col("__measure") == i, F.col(f"__{c}"))).alias(f"{c}{i}") for i in range(n) for c in ("low", "high", "varied")]
     )
-    # Rows of a source (NULL readings too), readings and different values of each measure.
-    sizes = once.groupBy("__src").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") >= least_rows)
-    variety = melted(once).groupBy(*by).agg(F.count(F.lit(1)).alias("__readings"), F.approx_count_distinct("__value", 0.02).alias("__distinct"))
-    judged = candidates.join(sizes, "__src").join(variety, by).join(span, by, "left")
-    beyond = F.greatest(F.col("__log") - F.col("__high"), F.col("__low") - F.col("__log"))
-    spike = (F.col("__score") > SCREEN) & (beyond > F.col("__high") - F.col("__low")) & (beyond > 0)
-    stuck = (F.col("__run") >= least_run) & (F.col("__distinct") >= 0.5 * F.col("__readings"))
-    reasons = F.array_compact(F.array(F.when(spike, F.lit("spike")), F.when(stuck, F.lit("stuck"))))
-    unlikely = judged.select("__row", "__src", "__measure", F.explode(reasons).alias("reason"), F.col("__score").alias("score"))
-    return impossible.unionByName(unlikely).select(
-        F.col("__row").alias(key), F.col("__src").alias(source), F.col("__measure").alias("measure"), "reason", "score"
+    placed = with_places(once, ["__src"], ["__t", "__row"], "__day", counted, days.join(wide, "__src", "left"))
+
+    # Each reading goes to its own block and, near a border, to the neighbour's too.
+    near = lambda at: F.transform(F.array(F.lit(0), F.lit(-half), F.lit(half)), lambda d: F.floor((at + d) / block))
+    nowhere = F.array().cast("array<bigint>")
+    blocks = F.array_distinct(F.flatten(F.array(*[F.when(F.col(f"v{i}").isNotNull(), near(F.col(f"at_{i}"))).otherwise(nowhere) for i in range(n)])))
+    spread = placed.select(
+        "__row", "__src", F.explode(blocks).alias("__block"), "at_row", "all_row",
+        *[f"{c}{i}" for i in range(n) for c in ("v", "ok", "at_", "all_", "low", "high", "varied")],
+    ).where(F.col("__block") >= 0)
+    order = ["__src", "__block"]
+    found = spread.repartition(*order).sortWithinPartitions(*order, "at_row").mapInPandas(
+        _windows(names, half, block, least_rows, least_run, mads),
+        f"__row {kinds['__row']}, __src {kinds['__src']}, measure string, reason string, score double, excess double",
     )
+    return found.select(F.col("__row").alias(key), F.col("__src").alias(source), "measure", "reason", "score", "excess")

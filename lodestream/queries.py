@@ -27,19 +27,20 @@ PATTERN_BOUNDS = {"deviationScore": lambda v: v >= 0}
 
 
 def p2_readings(spark: SparkSession, folder: str) -> DataFrame:
-    """Every implausible reading of the two tables: record_table, id, account, measure, reason, score."""
+    """Every implausible reading of the two tables: record_table, id, account, measure, reason, score, excess."""
     parts = []
     for name, bounds in (("gas_pattern_detection_logs", LOG_BOUNDS), ("suspicious_gas_patterns", PATTERN_BOUNDS)):
         flagged = outliers.flag_implausible(table(spark, folder, name), "id", "accountAddress", "createdAt", bounds)
         parts.append(
-            flagged.select(F.lit(name).alias("record_table"), "id", F.col("accountAddress").alias("account"), "measure", "reason", "score")
+            flagged.select(F.lit(name).alias("record_table"), "id", F.col("accountAddress").alias("account"), "measure", "reason", "score", "excess")
         )
     return parts[0].unionByName(parts[1])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the two tables with an implausible reading."""
-    return p2_readings(spark, folder).select("record_table", "id").distinct()
+    """The rows of the two tables with an impossible or stuck reading, or a spike beyond the account's range by more than its width."""
+    certain = (F.col("reason") != "spike") | (F.col("excess") > 0)
+    return p2_readings(spark, folder).where(certain).select("record_table", "id").distinct()
 
 
 def p3_rolling(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,8 @@ SCHEMA = "id string, a string, t timestamp, g double, measure string, reason int
 
 def flags(spark, rows, **more):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    return {(r.id, r.reason) for r in flag_implausible(df, "id", "a", "t", BOUNDS, **more).collect()}
+    # Of the filter's spikes those that lie further outside the ordinary range than it is wide.
+    return {(r.id, r.reason) for r in flag_implausible(df, "id", "a", "t", BOUNDS, **more).collect() if r.reason != "spike" or r.excess > 0}
 
 
 def series(n, seed=1, source="a"):
@@ -36,6 +37,20 @@ def test_spikes_up_and_down_stuck_and_impossible(spark):
     assert flags(spark, rows, block=7) == wanted
 
 
+def test_the_filter_decides(spark):
+    df = spark.createDataFrame([(*r, "x", 1) for r in [*series(200), ["far", "a", at(3000.5), 1000.0]]], SCHEMA)
+    found = lambda k: {r.id: r for r in flag_implausible(df, "id", "a", "t", BOUNDS, mads=k).collect() if r.reason == "spike"}
+    some, more, none = found(3.0), found(2.0), found(60.0)
+    assert set(some) < set(more) and set(none) == set() and "far" in some and all(r.score > 3 for r in some.values())
+    assert some["far"].excess > 0 and all(r.excess <= 0 for k, r in more.items() if k != "far")
+
+
+def test_two_levels_in_turn_hide_no_spike(spark):
+    rows = [[r[0], "a", r[2], r[3] * (4 if i % 2 else 1)] for i, r in enumerate(series(300))]
+    rows[150][3] = 8000.0
+    assert flags(spark, rows) == {("a150", "spike")} == flags(spark, rows, block=30)
+
+
 def test_small_sources_have_only_impossible_readings(spark):
     rows = series(29)
     rows[3][3], rows[4][3] = 9e9, 0.0
