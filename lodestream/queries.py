@@ -86,9 +86,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_amounts(spark: SparkSession, folder: str) -> DataFrame:
     """Every cap, usage log and estimate with its amount in wei or stroops."""
     conversions = units.conversion_table(spark)
-    records = units.cap_exponents(table(spark, folder, "gas_subsidy_caps"))
-    records = records.unionByName(units.usage_exponents(table(spark, folder, "gas_subsidy_usage_logs"), conversions))
-    records = records.unionByName(units.estimate_exponents(table(spark, folder, "dynamic_gas_estimates")))
+    records = units.cap_units(table(spark, folder, "gas_subsidy_caps"))
+    records = records.unionByName(units.usage_units(table(spark, folder, "gas_subsidy_usage_logs")))
+    records = records.unionByName(units.estimate_units(table(spark, folder, "dynamic_gas_estimates")))
     return units.canonical_amounts(records, conversions)
 
 

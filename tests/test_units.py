@@ -36,22 +36,38 @@ CASES = [
 ]
 
 
+POWER = {r[1]: units._power(Fraction(r[3])) for r in units.conversion_rows()}
+
+
 def test_units_shown_in_texts(spark):
     df = spark.createDataFrame([(i, t, a, f) for i, (t, a, f, _) in enumerate(CASES)], "i int, text string, amount long, family string")
-    shown = units.with_shown_power(df, "text", "amount", "family", units.conversion_table(spark), "shown")
-    got = {r.i: r.shown for r in shown.collect()}
+    got = {r.i: POWER.get(r.shown) for r in units.with_shown_unit(df, "text", "amount", "family", "shown").collect()}
     assert {i: got[i] for i in range(len(CASES))} == {i: c[3] for i, c in enumerate(CASES)}
 
 
 def test_usual_unit_changes_over_time(spark):
-    shown = [("r", "evm", at(i * 3600), 0) for i in range(40)] + [("r", "evm", at((60 + i) * 3600), 9) for i in range(40)] + [("q", "evm", at(i * 3600), 9 if i % 4 else 0) for i in range(200)]
-    segments = units.usual_units(spark.createDataFrame(shown, "s string, f string, t timestamp, e int"), "s", "f", "t", "e")
+    shown = [("r", "evm", at(i * 3600), "wei") for i in range(40)] + [("r", "evm", at((60 + i) * 3600), "gwei") for i in range(40)] + [("q", "evm", at(i * 3600), "gwei" if i % 4 else "wei") for i in range(200)]
+    segments = units.usual_units(spark.createDataFrame(shown, "s string, f string, t timestamp, e string"), "s", "f", "t", "e")
     start = 1_704_067_200_000_000
-    rows = [("r", "evm", start + h * 3_600_000_000, None) for h in (0, 30, 55, 99)] + [("q", "evm", start, None), ("new", "evm", start, None), (None, "evm", start, None), ("r", "evm", start, 15)]
-    records = spark.createDataFrame(rows, "source string, family string, at_us long, own int")
+    rows = [("r", "evm", start + h * 3_600_000_000, None) for h in (0, 30, 55, 99)] + [("q", "evm", start, None), ("new", "evm", start, None), (None, "evm", start, None), ("r", "evm", start, "finney")]
+    records = spark.createDataFrame(rows, "source string, family string, at_us long, own string")
     got = [(r.source, r.at_us, r.p) for r in units.with_usual(records, segments, "own", "p").collect()]
     by = {(s, (t - start) // 3_600_000_000 if t else t, p) for s, t, p in got}
-    assert by == {("r", 0, 0), ("r", 30, 0), ("r", 55, 9), ("r", 99, 9), ("q", 0, 9), ("new", 0, 0), (None, 0, 0), ("r", 0, 15)} and len(got) == 8
+    wanted = {("r", 0, "wei"), ("r", 30, "wei"), ("r", 55, "gwei"), ("r", 99, "gwei"), ("q", 0, "gwei"), ("new", 0, None), (None, 0, None), ("r", 0, "finney")}
+    assert by == wanted and len(got) == 8
+
+
+def test_amounts_come_through_the_graph(spark):
+    # id, source, family, hour, amount, shown unit: shown, usual for the source, canonical by default, unknown family.
+    rows = [("a", "s", "evm", 0, 2.0, "gwei"), ("b", "s", "evm", 1, 3.0, None), ("c", None, "stellar", 1, 4.0, None), ("d", "s", None, 1, 5.0, None), ("e", "s", "evm", 1, None, None)]
+    records = spark.createDataFrame([("t", i, s, f, h * 3_600_000_000, a, u) for i, s, f, h, a, u in [*rows, rows[0]]], "record_table string, id string, source string, family string, at_us long, amount double, shown string")
+    conversions = units.conversion_table(spark)
+    got = {r.id: (r.unit, r.exp10, r.canonical_amount) for r in units.canonical_amounts(records, conversions).collect()}
+    assert got == {"a": ("gwei", 9, 2e9), "b": ("gwei", 9, 3e9), "c": ("stroop", 0, 4.0), "d": (None, 0, 5.0), "e": ("gwei", 9, None)}
+    # Another factor in the graph is another result.
+    changed = units.conversion_table(spark, [("gwei", "wei", 7, 1), ("xlm", "stroop", 10**7, 0)])
+    assert {r.id: r.canonical_amount for r in units.canonical_amounts(records, changed).collect()}["a"] == 15.0
+    assert units.canonical_amounts(records.limit(0), conversions).count() == 0
 
 
 def test_chain_spellings(spark):
