@@ -3,30 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window: the shortest passage that counts.
+#: Words of a window whose equality counts: the shortest passage that is a leak by itself.
 WINDOW = 12
-#: Fingerprints within so many bits are candidates; RADIUS + 1 blocks guarantee that one block of theirs is equal.
-RADIUS = 2
+#: Item-sized windows: an item and each of its halves, cut down to the next of these lengths, which grow by STEP.
+SHORTEST, STEP = 18, 1.12
+#: Fingerprints within so many bits are candidates. Of BLOCKS blocks one differs in RADIUS // BLOCKS bits at most, and
+#: all values within so many bits of it are looked up, so that none within the radius is missed.
+RADIUS, BLOCKS = 11, 4
 #: Bits of a fingerprint.
 BITS = 64
+#: Least similarity of two item-sized windows: weighted Jaccard of their word pairs. A tenth of the words changed leaves
+#: about two thirds, a sixth of them about a half.
+LEAST_SIMILARITY = 0.5
 #: Bytes of text that one driver-side set of test items may have; a larger set is cut into several passes.
 ITEM_BYTES = 32_000_000
 
+#: Stands between the texts of a batch: no letter, no blank, and unchanged by normalisation.
+_BETWEEN = "\ufdd0"
+#: Markup, entities and escapes, which are no words. A tag may have any length and line breaks if its
+#: attributes have values; any other pointed brackets count as markup on one line.
+_MARKUP = (
+    r"</?[A-Za-z][\w:.-]*(?:[ \t\r\n]+[\w:.@-]+[ \t\r\n]*=[ \t\r\n]*(?:\"[^\"\ufdd0]*\"|'[^'\ufdd0]*'|[^\s\"'<>=\ufdd0]+))*[ \t\r\n]*/?>"
+    r"|<!--(?:(?!-->)[^\ufdd0])*-->|<[^<>\n\ufdd0]{0,200}>|&[a-z]+;|&#x?[0-9a-fA-F]+;|\\[nrt\"]"
+)
+#: Marks inside a word (an apostrophe, a soft hyphen, an invisible joiner, emphasis), which don't part it.
+_MARKS = "[\u00ad\u200b-\u200d\u2060\ufeff*_`~'\u2019]"
 
-def words(text: str) -> list[str]:
-    """The words of a text regardless of case, punctuation, spacing, line breaks and markup."""
+
+def _tokens(text: str) -> list[str]:
     import re
     import unicodedata
 
-    text = re.sub(r"<[^<>\n]{0,200}>|&[a-z]+;|&#\d+;|\\[nrt\"]", " ", text)
+    text = re.sub(_MARKUP, " ", text)
     text = unicodedata.normalize("NFKC", text).casefold()
-    # Marks inside a word (an apostrophe, a soft hyphen, an invisible joiner, emphasis) don't part it.
-    text = re.sub(r"[­​-‍⁠﻿*_`~'’]", "", text)
-    return re.findall(r"\w+", text)
+    return re.findall(r"\w+|\ufdd0", re.sub(_MARKS, "", text))
+
+
+def words(text: str) -> list[str]:
+    """The words of a text regardless of case, punctuation, spacing, line breaks and markup."""
+    return _tokens(text.replace(_BETWEEN, " "))
 
 
 #: Word hashes that a task remembers at most; texts repeat their words.
@@ -45,133 +65,207 @@ class WordHashes(dict):
         return value
 
 
+def _running(hashes):
+    """Running counts of each of the 64 bits over an array of uint64 hashes: row i counts the first i."""
+    import numpy as np
+
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.zeros((len(hashes) + 1, BITS), dtype=np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=counts[1:])
+    return counts
+
+
+def _prints(counts, starts, window: int):
+    """SimHash of the windows at ``starts``: a bit is set where more of the window's words have it set than not."""
+    import numpy as np
+
+    votes = (counts[starts + window] - counts[starts]) * 2 > window
+    return np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprints(hashes, window: int = WINDOW):
-    """SimHash of every window of ``window`` word hashes (a uint64 array), as a uint64 array.
+    """SimHash of every window of ``window`` word hashes (a uint64 array), as a uint64 array."""
+    import numpy as np
+
+    starts = np.arange(max(0, len(hashes) - window + 1))
+    return _prints(_running(hashes), starts, window) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
+def _within(bits: int, most: int):
+    """All masks of ``bits`` bits with at most ``most`` of them set."""
+    from itertools import combinations
 
-    A bit is set where more of the window's words have it set than not; counts come from running sums.
-    """
     import numpy as np
 
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.empty(n, dtype=np.uint64)
-    step = 65_536
-    for at in range(0, n, step):
-        part = hashes[at : min(n, at + step) + window - 1]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        running = np.zeros((len(part) + 1, BITS), dtype=np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=running[1:])
-        votes = (running[window:] - running[:-window]) * 2 > window
-        out[at : at + len(votes)] = np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return np.array([sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(bits), n)], dtype=np.uint64)
 
 
-class Index:
-    """Fingerprints of all windows of a set of test items, by Hamming block; small enough to be held by every task."""
+def lengths(n: int) -> list[int]:
+    """The lengths of item-sized windows up to ``n`` words, shortest first."""
+    out = [SHORTEST]
+    while (following := max(out[-1] + 1, round(out[-1] * STEP))) <= n:
+        out.append(following)
+    return out if n >= SHORTEST else []
+
+
+class Blocks:
+    """Fingerprints by Hamming block: those within ``radius`` bits of a given one are found without looking at all."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW, radius: int = RADIUS) -> None:
+    def __init__(self, prints, radius: int = RADIUS, blocks: int = BLOCKS) -> None:
         import numpy as np
 
-        self.window, self.radius = window, radius
-        self.codes: dict[str, int] = {}  # words of the items, numbered from 1
-        self.hashes = WordHashes()
-        prints, owner, place = [], [], []
-        self.texts, self.ids = [], [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            tokens = words(text)
-            for token in tokens:
-                self.codes.setdefault(token, len(self.codes) + 1)
-            self.texts.append(np.array([self.codes[t] for t in tokens], dtype=np.int32))
-            own = fingerprints(np.array([self.hashes[t] for t in tokens], dtype=np.uint64), window)
-            prints.append(own)
-            owner += [k] * len(own)
-            place += range(len(own))
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64)
-        self.owner, self.place = np.array(owner, dtype=np.int32), np.array(place, dtype=np.int32)
-        edges = [BITS * b // (radius + 1) for b in range(radius + 2)]
-        self.blocks = []
-        for low, high in zip(edges[:-1], edges[1:]):
+        self.prints, self.radius = prints, radius
+        reach = radius // blocks
+        near = reach // 2  # so far the stored values are spread, and the rest of the reach those looked up
+        self.tables = []
+        for low, high in zip(range(0, BITS, BITS // blocks), range(BITS // blocks, BITS + 1, BITS // blocks)):
+            own, asked = _within(high - low, near), _within(high - low, reach - near)
             mask = np.uint64((1 << (high - low)) - 1)
-            values = ((self.prints >> np.uint64(low)) & mask).astype(np.int64)
+            values = (((prints >> np.uint64(low)) & mask)[:, None] ^ own).ravel().astype(np.int64)
             order = np.argsort(values, kind="stable")
             present = np.zeros(1 << (high - low), dtype=bool)
             present[values] = True
-            self.blocks.append((np.uint64(low), mask, present, order, values[order]))
+            self.tables.append((np.uint64(low), mask, asked, present, (order // len(own)).astype(np.int32), values[order]))
 
     def candidates(self, prints):
-        """Pairs (document window, item window) whose fingerprints differ in at most ``radius`` bits."""
+        """Pairs (place in ``prints``, place in the stored ones) whose fingerprints differ in at most ``radius`` bits."""
         import numpy as np
 
-        left, right = [], []
-        for low, mask, present, order, values in self.blocks:
-            part = ((prints >> low) & mask).astype(np.int64)
-            hit = np.flatnonzero(present[part])
-            if not len(hit):
-                continue
-            first, last = np.searchsorted(values, part[hit], "left"), np.searchsorted(values, part[hit], "right")
+        found = []
+        for low, mask, asked, present, order, values in self.tables:
+            part = (((prints >> low) & mask)[:, None] ^ asked).astype(np.int64)
+            at, way = np.nonzero(present[part])
+            first, last = np.searchsorted(values, part[at, way], "left"), np.searchsorted(values, part[at, way], "right")
             count = last - first
-            docs = np.repeat(hit, count)
             steps = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
-            found = order[np.repeat(first, count) + steps]
-            near = np.bitwise_count(prints[docs] ^ self.prints[found]) <= self.radius
-            left.append(docs[near])
-            right.append(found[near])
-        if not left:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pairs[0], pairs[1]
-
-    def matches(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item number, best similarity, longest common run of words, its first word's place in the text) of each item found."""
+            left, right = np.repeat(at, count), order[np.repeat(first, count) + steps]
+            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
+            found.append(left[near] * len(self.prints) + right[near])
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+
+
+class Index:
+    """The windows of a set of test items by fingerprint; small enough to be held by every task."""
+
+    def __init__(
+        self, items: list[tuple[object, str]], window: int = WINDOW, radius: int = RADIUS, least_similarity: float = LEAST_SIMILARITY
+    ) -> None:
         import numpy as np
 
-        tokens = words(text)
-        if len(tokens) < self.window or not len(self.prints):
-            return []
-        prints = fingerprints(np.array([self.hashes[t] for t in tokens], dtype=np.uint64), self.window)
-        at, found = self.candidates(prints)
-        best: dict[int, list] = {}
-        if not len(at):
-            return []
-        codes = np.fromiter((self.codes.get(t, 0) for t in tokens), dtype=np.int32, count=len(tokens))
-        # Equal windows are consecutive words shared; in a run they lie on one diagonal of places.
-        for i, j in zip(at.tolist(), found.tolist()):
-            item, place = int(self.owner[j]), int(self.place[j])
-            own, other = codes[i : i + self.window], self.texts[item][place : place + self.window]
-            similarity = 1.0 if (own == other).all() else _weighted_similarity(own, other)
-            entry = best.setdefault(item, [0.0, 0, i, {}])
-            entry[0] = max(entry[0], similarity)
-            if similarity == 1.0:
-                entry[3].setdefault(i - place, []).append(i)
-        out = []
-        for item, (similarity, _, first, diagonals) in best.items():
-            longest = 0
-            for places in diagonals.values():
+        self.window, self.least = window, least_similarity
+        self.hashes = WordHashes()
+        self.codes: dict[str, int] = {}  # words of the items, numbered from 1
+        self.texts, self.ids = [], [i for i, _ in items]
+        exact, sized = [], {}
+        for k, (_, text) in enumerate(items):
+            tokens = words(text)
+            for token in tokens:
+                self.codes.setdefault(token, len(self.codes) + 1)
+            self.texts.append(np.array([self.codes[t] for t in tokens], dtype=np.int32))
+            hashes = np.array([self.hashes[t] for t in tokens], dtype=np.uint64)
+            exact += [(p, k, i) for i, p in enumerate(fingerprints(hashes, window))]
+            counts, n = _running(hashes), len(tokens)
+            for start, stop in {(0, n), (0, n // 2), (n - n // 2, n)}:
+                for size in lengths(stop - start)[-1:]:
+                    # Both ends of the stretch, so that all its words lie in one of the two.
+                    for i in {start, stop - size}:
+                        sized.setdefault(size, {})[(k, i)] = _prints(counts, np.array([i]), size)[0]
+        exact.sort()
+        self.exact = np.array([p for p, _, _ in exact], dtype=np.uint64)
+        self.exact_at = [(k, i) for _, k, i in exact]
+        self.codes[_BETWEEN] = -1
+        self.sized = {}
+        for size, found in sized.items():
+            self.sized[size] = (list(found), Blocks(np.array(list(found.values()), dtype=np.uint64), radius))
+
+    def _runs(self, codes, counts, starts, best) -> None:
+        """Equal windows: the longest run of common words of each item, from windows on one diagonal of places."""
+        import numpy as np
+
+        prints = _prints(counts, starts, self.window)
+        first, last = np.searchsorted(self.exact, prints, "left"), np.searchsorted(self.exact, prints, "right")
+        diagonals: dict[int, dict[int, list[int]]] = {}
+        for i, a, b in zip(starts.tolist(), first.tolist(), last.tolist()):
+            for item, place in self.exact_at[a:b]:
+                if (codes[i : i + self.window] == self.texts[item][place : place + self.window]).all():
+                    diagonals.setdefault(item, {}).setdefault(i - place, []).append(i)
+        for item, by_place in diagonals.items():
+            longest, at = 0, 0
+            for places in by_place.values():
                 run, start = 1, places[0]
                 for a, b in zip(places, [*places[1:], None]):
                     if b == a + 1:
                         run += 1
                         continue
                     if run + self.window - 1 > longest:
-                        longest, first = run + self.window - 1, start
+                        longest, at = run + self.window - 1, start
                     run, start = 1, b
-            out.append((item, similarity, longest, first))
+            best[item] = (1.0, longest, at)
+
+    def _near(self, codes, counts, starts, size, best) -> None:
+        """Item-sized windows within the radius, compared word pair by word pair."""
+        places, blocks = self.sized[size]
+        at, found = blocks.candidates(_prints(counts, starts, size))
+        for i, j in zip(starts[at].tolist(), found.tolist()):
+            item, place = places[j]
+            if best.get(item, (0.0,))[0] < 1.0:
+                similarity = weighted_similarity(codes[i : i + size], self.texts[item][place : place + size])
+                if similarity >= max(self.least, best.get(item, (0.0,))[0]):
+                    best[item] = (similarity, 0, i)
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
+        """(text's number, item's number, best similarity, longest common run of words, its place) of each pair found.
+
+        All texts are split at once. A window is looked up only if so many of its words are items' words that it can
+        match: all for an equal one; for a similar one as many as it must have common pairs.
+        """
+        import numpy as np
+
+        tokens = _tokens(_BETWEEN.join(t.replace(_BETWEEN, " ") for t in texts))
+        codes = np.fromiter(map(self.codes.get, tokens, repeat(0)), dtype=np.int32, count=len(tokens))
+        known = np.concatenate([[0], np.cumsum(codes > 0)])
+        breaks = np.concatenate([[0], np.cumsum(codes < 0)])
+
+        def worth(size: int, least: float):
+            n = len(codes) - size + 1
+            if n <= 0:
+                return np.zeros(0, dtype=np.int64)
+            return np.flatnonzero((known[size:] - known[:n] >= least) & (breaks[size:] == breaks[:n]))
+
+        share = 2 * self.least / (1 + self.least)
+        starts = {size: worth(size, share * (size - 1)) for size in self.sized}
+        starts[0] = worth(self.window, self.window)
+        edges = np.concatenate([[-1], np.flatnonzero(codes < 0), [len(codes)]])
+        out = []
+        for text in np.unique(np.concatenate([breaks[s] for s in starts.values()])).tolist():
+            low, high = int(edges[text]) + 1, int(edges[text + 1])
+            own = codes[low:high]
+            counts = _running(np.array([self.hashes[t] for t in tokens[low:high]], dtype=np.uint64))
+            best: dict[int, tuple[float, int, int]] = {}
+            for size in sorted(starts):
+                a, b = np.searchsorted(starts[size], [low, high])
+                if b > a and size:
+                    self._near(own, counts, starts[size][a:b] - low, size, best)
+                elif b > a and len(self.exact):
+                    self._runs(own, counts, starts[size][a:b] - low, best)
+            out += [(text, item, *found) for item, found in best.items()]
         return out
 
 
-def _weighted_similarity(a, b, length: int = 5) -> float:
-    """Weighted Jaccard similarity of the five-word shingles of two windows; a shingle weighs its number of known words."""
+def weighted_similarity(a, b, length: int = 2) -> float:
+    """Weighted Jaccard similarity of the ``length``-word shingles of two windows of word numbers; a shingle weighs how often it occurs."""
     from collections import Counter
 
     def shingles(x):
         x = x.tolist()
-        return Counter(tuple(x[i : i + length]) for i in range(len(x) - length + 1))
+        return Counter(zip(*[x[i:] for i in range(length)]))
 
     left, right = shingles(a), shingles(b)
-    weight = lambda s: 1.0 + sum(1 for w in s if w)
-    union = sum(weight(s) * max(left[s], right[s]) for s in left.keys() | right.keys())
-    return sum(weight(s) * min(left[s], right[s]) for s in left.keys() & right.keys()) / union if union else 1.0
+    # A word that no item has is numbered 0 and equals nothing.
+    common = sum(min(n, right[s]) for s, n in left.items() if s in right and all(w > 0 for w in s))
+    total = sum(left.values()) + sum(right.values()) - common
+    return common / total if total else 1.0
 
 
 def _search(index) -> Callable[[Iterator], Iterator]:
@@ -180,30 +274,44 @@ def _search(index) -> Callable[[Iterator], Iterator]:
 
         own: Index = index.value
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                out += [(own.ids[item], doc, similarity, run, first) for item, similarity, run, first in own.matches(text)]
-            if out:
-                yield pd.DataFrame(out, columns=["item_id", "doc_id", "similarity", "shared_words", "at_word"])
+            texts, keys, first = pdf["text"].tolist(), pdf["doc_id"].tolist(), 0
+            while first < len(texts):
+                # So many texts at once that the words of all fit in memory, and always one.
+                last, size = first + 1, len(texts[first])
+                while last < len(texts) and size + len(texts[last]) <= TEXT_CHARS:
+                    size, last = size + len(texts[last]), last + 1
+                found = own.search(texts[first:last])
+                if found:
+                    rows = [(own.ids[item], keys[first + text], similarity, run, at) for text, item, similarity, run, at in found]
+                    yield pd.DataFrame(rows, columns=["item_id", "doc_id", "similarity", "shared_words", "at_word"])
+                first = last
 
     return run
 
 
+#: Characters of text that a task splits into words at once; a longer text goes alone.
+TEXT_CHARS = 4_000_000
+
+
 def leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, radius: int = RADIUS, least_similarity: float = 0.8, item_bytes: int = ITEM_BYTES,
+    window: int = WINDOW, radius: int = RADIUS, least_similarity: float = LEAST_SIMILARITY, item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """The documents that hold passages of test items: item_id, doc_id, similarity, shared_words, at_word.
 
-    Every window of ``window`` words of a document and of an item has a SimHash. Windows whose fingerprints differ in at
-    most ``radius`` bits are found through radius + 1 Hamming blocks, none missed; then the windows themselves are
-    compared, by weighted five-word shingles. A pair comes out if its best similarity is at least ``least_similarity``;
-    ``shared_words`` is the longest run of common words seen (0 if no window is equal, else ``window`` or more): equal
-    windows have equal fingerprints, so every run of ``window`` common words is found.
+    Windows of documents and items have SimHashes. Two kinds of them lead to a pair:
+
+    - equal windows of ``window`` words, which have equal fingerprints, so that every common run of so many words is
+      found; ``shared_words`` is the longest one, ``similarity`` 1;
+    - item-sized windows (of the length of the item or of one of its halves, rounded down to a step of ``STEP``) whose
+      fingerprints differ in at most ``radius`` bits. Those are found through Hamming blocks, none missed; then the
+      windows themselves are compared by the weighted Jaccard similarity of their word pairs, which must be
+      ``least_similarity`` or more. ``shared_words`` is 0 if no run of ``window`` words is common.
 
-    Texts count regardless of case, punctuation, spacing, line breaks and markup, and are read whole. NULL or short
-    texts match nothing; repeated rows give one pair. The items are held by every task, in passes of at most
-    ``item_bytes`` of text, so their size is bounded whatever their number; documents stay where they are read.
+    ``at_word`` is the place of the run or window in the document. Texts count regardless of case, punctuation, spacing,
+    line breaks and markup, and are read whole. NULL or short texts match nothing; repeated rows give one pair. The
+    items are held by every task, in passes of at most ``item_bytes`` of text, so their size is bounded whatever their
+    number; documents stay where they are read.
     """
     spark = docs.sparkSession
     held = items.select(F.col(f"`{item_key}`").alias("i"), F.col(f"`{item_text}`").alias("t")).dropna()
@@ -215,13 +323,12 @@ def leaks(
     found = None
     for part in range(passes):
         own = held.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == part)
-        index = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in own.collect()], window, radius))
+        index = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in own.collect()], window, radius, least_similarity))
         pairs = source.mapInPandas(_search(index), schema)
         found = pairs if found is None else found.unionByName(pairs)
     assert found is not None
     best = F.max_by(F.struct("similarity", "shared_words", "at_word"), F.struct("shared_words", "similarity"))
-    one = found.where(F.col("similarity") >= least_similarity).groupBy("item_id", "doc_id").agg(best.alias("b"))
-    return one.select("item_id", "doc_id", "b.*")
+    return found.groupBy("item_id", "doc_id").agg(best.alias("b")).select("item_id", "doc_id", "b.*")
 
 
 def full_matches(found: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import cut
-
 #: An unterminated ending is a whole one (a title, a sign-off) if it makes up this share of all unterminated endings,
 #: its names and numbers aside, or if it stands as a line of its own at the head of so many other texts. Exact copies
 #: of a text count once in both.
@@ -19,8 +17,8 @@ SOURCE_LEAST = 1000
 WHOLE_LINES = 2
 #: An ending of fewer words than this is never taken for a sign-off.
 WHOLE_WORDS = 2
-#: Lines longer than this aren't titles.
-TITLE_CHARS = 90
+#: Rows with one ending, or none, are spread over so many tasks where they meet the usual endings.
+SALTS, SPREAD = 16, 4096
 #: A length is a source's field limit if this share of its texts has it.
 LIMIT_SHARE = 0.02
 
@@ -31,12 +29,23 @@ _DOTS = r"\s*(?:\.{3,}|…)\s*$"
 _END = r"[.!?。！？]\s*[\"”»’'\)\]\*_`]*$"
 
 
+#: One step of the automaton over a text that isn't JSON: a fence at the head of a line, a comment, an emoticon, a tag, one
+#: that the text's end cuts off, a paragraph's end, an opener or closer.
+_STEP = (
+    r"(?m)^[ \t]*(?P<fence>```)|(?P<skip>//[^\n]*|[:;=]-?[()\[\]{}]|\\.|</?[A-Za-z][^<>]*>)|(?P<tag><[A-Za-z/][^<>]*\Z)"
+    r"|(?P<gap>\n[ \t]*\n)|(?P<mark>[()\[\]{}\"“”«»„])"
+)
+_CLOSES = {")": "(", "]": "[", "}": "{", "»": "«"}
+_KIND = {"(": "bracket", "[": "bracket", "{": "brace", '"': "quote", "“": "quote", "«": "quote", "```": "fence"}
+
+
 def open_structure(text: str) -> str | None:
     """What the text leaves open at its end, by a stack automaton: 'json', 'fence', 'brace', 'bracket', 'tag', 'quote' or None.
 
-    A text that begins as a JSON object or array is read as JSON: strings with their escapes, braces and brackets.
-    Any other text is read for code fences, braces outside quoted strings, and, in its last line, brackets, double
-    quotes and markup.
+    A text that begins as a JSON object or array is read as JSON: strings with their escapes, braces and brackets, each
+    closed by its own kind. Any other text is read whole for code fences, braces, brackets, double quotes and markup. A
+    closer takes its opener off the stack with all that was opened since; one without an opener counts for nothing.
+    Inside straight quotes nothing else counts; quotes end with their paragraph. A fence ends what was opened in it.
     """
     import re
 
@@ -53,7 +62,7 @@ def open_structure(text: str) -> str | None:
             elif not string:
                 if c in "{[":
                     stack.append(c)
-                elif stack:
+                elif stack and stack[-1] == _CLOSES[c]:
                     stack.pop()
                 if not stack:
                     end = m.end()
@@ -63,32 +72,42 @@ def open_structure(text: str) -> str | None:
         body = body[end:]
         if not body.strip():
             return None
-    fence = False
-    for m in re.finditer(r"(?m)^[ \t]*```", body):
-        fence = not fence
-    if fence:
-        return "fence"
-    if "{" in body:
-        depth = 0
-        for m in re.finditer(r"\"[^\"\n]*\"|//[^\n]*|[{}]", body):
-            c = m.group()
-            depth += (c == "{") - (c == "}" and depth > 0)
-        if depth:
-            return "brace"
-    line = body.rsplit("\n", 1)[-1]
-    stack = []
-    for c in re.findall(r"[()\[\]]", line):
-        if c in "([":
-            stack.append(c)
-        elif stack:
-            stack.pop()
-    if stack:
-        return "bracket"
-    if re.search(r"<[A-Za-z/][^<>]*$", line):
-        return "tag"
-    if line.count('"') % 2 or line.count("“") > line.count("”") or line.count("«") > line.count("»"):
-        return "quote"
-    return None
+    stack: list[str] = []
+    held = dict.fromkeys(_KIND, 0)  # how many of each are on the stack: a closer without an opener costs nothing
+
+    def drop(opener: str) -> None:
+        while held[opener]:
+            top = stack.pop()
+            held[top] -= 1
+            if top == opener:
+                return
+
+    for m in re.finditer(_STEP, body):
+        kind, c = m.lastgroup, m.group(m.lastgroup)
+        if kind == "fence":
+            if held["```"]:
+                drop("```")
+            else:
+                stack.append("```")
+                held["```"] += 1
+        elif kind == "tag":
+            return "tag"
+        elif kind == "gap":
+            while stack and _KIND[stack[-1]] == "quote":
+                held[stack.pop()] -= 1
+        elif kind == "mark":
+            if c == '"' and held['"']:
+                drop('"')
+            elif held['"'] or (c == '"' and body[m.start() - 1 : m.start()].isdigit()):
+                continue  # the latter is an inch mark
+            elif c == "”" or (c == "“" and held["“"]):
+                drop("“")
+            elif c in _CLOSES:
+                drop(_CLOSES[c])
+            else:
+                stack.append("“" if c == "„" else c)
+                held[stack[-1]] += 1
+    return _KIND[stack[0]] if stack else None
 
 
 def ending(text: str) -> tuple[str, str | None]:
@@ -119,6 +138,14 @@ def ending(text: str) -> tuple[str, str | None]:
     return "tail", re.split(r"\n+|(?<=[.!?。！？])[\"”»’')\]]*\s+", rest)[-1].strip()
 
 
+def head(text: str) -> str | None:
+    """The first line of a text of several lines, if it ends without terminator: what a title looks like."""
+    import re
+
+    first, broken, _ = text.partition("\n")
+    return first if broken and first.strip() and not re.search(_END, first.rstrip()) else None
+
+
 def form(tail: Column) -> Column:
     """A tail or line with its names and numbers aside, so that endings of one kind compare equal."""
     named = F.regexp_replace(tail, "(?<![A-Za-z])[A-Z][a-z]+(?:[A-Z][a-z]*)+(?![A-Za-z])", "N")
@@ -138,6 +165,7 @@ def _endings(batches: Iterator) -> Iterator:
                 "chars": [len(t) for t in pdf["text"]],
                 "verdict": [v for v, _ in verdicts],
                 "tail": [t for _, t in verdicts],
+                "head": [head(t) for t in pdf["text"].tolist()],
             }
         )
 
@@ -153,36 +181,59 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Exact copies count as one text there, so that a cut text doesn't become usual by being copied.
 
     NULL texts are left out; empty ones are whole. Repeated keys are judged row by row.
+
+    The texts are read and parsed once: what is kept of each is shuffled by key, and every reader, the baseline's and
+    the verdicts', takes it from there.
     """
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
     rows = rows.where(F.col("text").isNotNull()).withColumn("copy", F.xxhash64("text"))
     ends = rows.mapInPandas(
-        _endings, f"doc_id {kinds[key]}, source {kinds[source]}, copy long, chars long, verdict string, tail string"
+        _endings, f"doc_id {kinds[key]}, source {kinds[source]}, copy long, chars long, verdict string, tail string, head string"
     )
-    # Both the baseline and the verdicts need the endings; the texts are read and parsed once.
-    ends = cut(ends.select("doc_id", "source", "copy", "chars", "verdict", form(F.col("tail")).alias("form")))
-    tails = ends.where(F.col("verdict") == "tail")
-    own = tails.groupBy("source", "form").agg(F.count_distinct("copy").alias("n"))
+    bare = lambda c: F.coalesce(form(F.col(c)), F.lit(""))
+    ends = ends.select("doc_id", "source", "copy", "chars", "verdict", bare("tail").alias("form"), bare("head").alias("head")).repartition("doc_id")
+    # Columns that the baseline has no use for, and conditions on whole groups in place of filters, keep the shuffle
+    # the same for all its readers, so that Spark makes it once.
+    everything = [F.count("doc_id").alias("__k"), F.max("chars").alias("__c"), F.max("verdict").alias("__v")]
+    same = (F.col("__k") >= 0) & (F.col("__c") >= 0) & F.col("__v").isNotNull()
+
+    def copies(by: list[str], other: list[str]) -> DataFrame:
+        """Different texts by group: one row for each text and group, empty forms left out."""
+        extra = [F.max(F.length(c)).alias(f"__{c}") for c in other]
+        one = ends.groupBy(*by, "copy").agg(F.max(F.length(by[-1])).alias("__length"), *everything, *extra)
+        for c in other:
+            one = one.where(F.col(f"__{c}").isNotNull())
+        return one.where((F.col("__length") > 0) & same).select(*by, "copy")
+
+    cells = copies(["source", "form"], ["head"])
+    own = cells.groupBy("source", "form").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("form", r"\s+"))).alias("words"))
     sources = own.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("all"))
     owned = own.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     most = owned.groupBy("form").agg(F.max(F.struct("n", "all")).alias("most"))
-    everywhere = tails.groupBy("form").agg(F.count_distinct("copy").alias("n_everywhere")).join(most, "form")
+    everywhere = cells.groupBy("form").agg(F.count_distinct("copy").alias("n_everywhere")).join(most, "form")
     # One row, whatever the corpus holds.
-    everything = everywhere.agg(F.sum("n_everywhere").alias("all_everywhere"))
-    kept = owned.join(everywhere, "form").join(F.broadcast(everything))
+    total = everywhere.agg(F.sum("n_everywhere").alias("all_everywhere"))
+    kept = owned.join(everywhere, "form").join(F.broadcast(total))
     enough = lambda n, of: n >= F.greatest(of * WHOLE_SHARE, F.lit(2))
     elsewhere = enough(F.col("n_everywhere") - F.col("most.n"), F.col("all_everywhere") - F.col("most.all"))
     by_source = enough(F.col("n"), F.col("all")) | elsewhere
     usual = kept.where(F.when(F.col("all") >= SOURCE_LEAST, by_source).otherwise(enough(F.col("n_everywhere"), F.col("all_everywhere"))))
-    usual = usual.where(F.size(F.split("form", r"\s+")) >= WHOLE_WORDS).select("source", "form")
-    line = F.regexp_extract("text", rf"^([^\n]{{1,{TITLE_CHARS}}})\r?\n", 1)
-    lines = rows.select(form(line).alias("form"), "copy").where((F.col("form") != "") & ~F.col("form").rlike(_END))
-    titles = lines.groupBy("form").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= WHOLE_LINES).select("form")
-    titles = own.select("source", "form").join(titles, "form", "left_semi").select("source", "form")
+    usual = usual.where(F.col("words") >= WHOLE_WORDS).select("source", "form")
+    heads = copies(["source", "head"], ["form"]).groupBy("head").agg(F.count_distinct("copy").alias("n"))
+    heads = heads.where(F.col("n") >= WHOLE_LINES).select(F.col("head").alias("form"))
+    titles = own.select("source", "form").join(heads, "form", "left_semi").select("source", "form")
     whole = usual.unionByName(titles).distinct().select(F.col("source").alias("s"), F.col("form").alias("known"))
-    placed = ends.join(whole, (F.col("form") == F.col("known")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    ended = (F.col("verdict") == "cut") | ((F.col("verdict") == "tail") & F.col("known").isNull())
+    # Endings meet the usual ones under a salt, and rows without one under many: neither fills one task.
+    whole = whole.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tail = F.col("verdict") == "tail"
+    asked = F.when(tail, F.col("form")).otherwise(F.concat(F.lit("\n"), F.pmod("copy", F.lit(SPREAD)).cast("string")))
+    salted = ends.withColumns({"__asked": asked, "__own": F.pmod("copy", F.lit(SALTS)).cast("int")})
+    meet = (F.col("__asked") == F.col("known")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("__own") == F.col("__salt"))
+    placed = salted.join(whole, meet, "left")
+    ended = (F.col("verdict") == "cut") | (tail & F.col("known").isNull())
+    # Of the head and the copy the verdicts need nothing; asking for them keeps the shuffle the same.
+    ended = ended & (F.length("head") >= 0)
     reason = F.when(ended, F.when(F.col("verdict") == "cut", F.lit("structure")).otherwise(F.lit("ending")))
     return placed.select("doc_id", "source", "chars", ended.alias("truncated"), reason.alias("reason"))
 

@@ -68,14 +68,52 @@ def test_repeated_rows_and_empty_tables(spark):
     assert search(spark, [(1, ITEM)], []) == {} and search(spark, [], [(7, ITEM)]) == {}
 
 
-def test_hamming_blocks_miss_nothing():
+@pytest.mark.parametrize("radius", [2, 7, 11])
+def test_hamming_blocks_miss_nothing(radius):
     rng = np.random.default_rng(3)
-    index = lk.Index([(0, ITEM)])
-    bits = np.uint64(1) << rng.integers(0, 64, size=(200, 2)).astype(np.uint64)
-    base = rng.integers(0, len(index.prints), size=200)
-    prints = index.prints[base] ^ bits[:, 0] ^ np.where(bits[:, 0] == bits[:, 1], np.uint64(0), bits[:, 1])
-    left, right = index.candidates(prints)
-    assert set(zip(range(200), base.tolist())) <= set(zip(left.tolist(), right.tolist()))
+    stored = rng.integers(0, 2**63, size=300).astype(np.uint64)
+    base = rng.integers(0, 300, size=400)
+    asked = stored[base].copy()
+    for i in range(400):
+        for b in rng.choice(64, size=rng.integers(0, 15), replace=False):
+            asked[i] ^= np.uint64(1 << int(b))
+    left, right = lk.Blocks(stored, radius).candidates(asked)
+    near = np.argwhere(np.bitwise_count(asked[:, None] ^ stored[None, :]) <= radius)
+    assert set(zip(left.tolist(), right.tolist())) == set(map(tuple, near.tolist())) and len(near) > 20
+
+
+def test_edited_items_are_found(spark):
+    """One word in ten replaced, dropped or doubled, so that few runs of 12 words stay: recall of 0.9 at least, nothing else found."""
+    pick = random.Random(4)
+    items = [(i, " ".join(pick.choice(WORDS) for _ in range(pick.randint(38, 96)))) for i in range(120)]
+    docs, wanted = [], set()
+    for i in range(360):
+        text = [pick.choice(WORDS) for _ in range(60)]
+        if i % 3 == 0:
+            own = items[i // 3][1].split()
+            for k in range(pick.randrange(5, 10), len(own), 10):
+                own[k] = pick.choice([f"other{k}", "", f"{own[k]} {own[k]}"])
+            text[30:30] = " ".join(own).split()
+            wanted.add((i // 3, i))
+        docs.append((i, " ".join(text)))
+    got = search(spark, docs, items)
+    assert set(got) <= wanted and len(got) >= 0.9 * len(wanted)
+    assert all(r.similarity >= lk.LEAST_SIMILARITY for r in got.values()) and not any(r.shared_words for r in got.values())
+
+
+def test_similarity_by_hand():
+    a, b = np.array([1, 2, 3, 1, 2]), np.array([1, 2, 3, 0, 2])
+    assert lk.weighted_similarity(a, b) == pytest.approx(2 / 6) and lk.weighted_similarity(a, a) == 1.0
+    assert lk.lengths(17) == [] and lk.lengths(18) == [18] and max(lk.lengths(5000)) <= 5000
+
+
+@pytest.mark.parametrize("tag", ['<a href="' + "x" * 500 + '">', "<span\n class='b'\n>", "<!-- a b c -->", "<p>"])
+def test_markup_of_any_length_is_no_word(tag):
+    assert lk.words(f"one {tag} two") == ["one", "two"]
+
+
+def test_comparisons_are_no_markup():
+    assert lk.words("for i<n; i++ then\n x>y") == ["for", "i", "n", "i", "then", "x", "y"]
 
 
 def test_fingerprint_is_a_majority():

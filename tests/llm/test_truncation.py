@@ -15,6 +15,9 @@ NOTE = json.dumps({"a": [1, {"b": 'say "hi" {'}], "c": "x.\\"})
     [
         (NOTE, None), ("[" + NOTE + "]", None), ("[]", None), ('```\nfn a() {\n}\n```', None), ("function f() {\n  g(\"}\");\n}", None), ("It is (so) done.", None), ('He said: "no."', None),
         ("```\nfn a() {", "fence"), ("fn a() {\n  b();", "brace"), ("see (the", "bracket"), ('He said: "no.', "quote"), ("go to <a href=", "tag"), ("a < b", None),
+        # Opened a line earlier, or closed by another kind.
+        ("(see the\nother", "bracket"), ('He said: "it was\nnot', "quote"), ("A (list] of things", "bracket"), ("[a (b] c", None), ('A 5" screen.', None), ('He said "no 12".', None),
+        ('{"a": [1, 2}', "json"), ("so sad :( but whole", None), ("«oui\n\nnon", None), ("fn a(b[1) {}", None), ("„ja“ und “no”", None), ("[" * 200_000 + "]" * 200_000, None),
     ],
 )
 def test_open_structures(text, left_open):
@@ -78,6 +81,21 @@ def test_copies_of_a_cut_text_are_no_baseline(spark):
     assert got == {*range(600), 900}
 
 
+def test_three_copies_of_a_cut_text_stay_cut(spark):
+    pick = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "zeta", "iota"]
+    sentence = lambda: " ".join(pick.choice(words) for _ in range(12)).capitalize() + "."
+    rows = [("s", " ".join(sentence() for _ in range(4))) for _ in range(204)] + [("s", f"{sentence()} All of it was do")] * 3
+    assert {r.doc_id for r in judge(spark, rows).where("truncated").collect()} == {204, 205, 206}
+
+
+def test_texts_are_parsed_once(spark):
+    plan = judge(spark, [("s", f"Some text {i}") for i in range(50)])
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInPandas") == 1 and "ReusedExchange" in final
+
+
 def test_sources_have_baselines_of_their_own(spark):
     pick = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta", "zeta", "iota"]
