@@ -22,7 +22,21 @@ def p5_distinct_clients(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """The mergeable sketch of each day and endpoint."""
-    return distinct.pack(distinct.registers(_clients(spark, folder), ["day", "endpoint"], "client"), ["day", "endpoint"])
+    return distinct.sketches(_clients(spark, folder), ["day", "endpoint"], "client")
+
+
+def p5_within_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct user agents by day, by endpoint, by both and over all, counted exactly, and whether the estimate is within five errors."""
+    rows = table(spark, folder, "api_performance_metrics").select(F.to_date("timestamp").alias("day"), "endpoint", F.col("requestId").alias("request"))
+    estimates = distinct.distinct_counts(rows, ["day", "endpoint"], "request")
+    exact = rows.cube("day", "endpoint").agg(F.count_distinct("request").alias("exact"), F.grouping_id().cast("int").alias("g"))
+    exact = exact.where(F.col("exact") > 0).withColumnsRenamed({"day": "d", "endpoint": "e"})
+    same = F.col("day").eqNullSafe(F.col("d")) & F.col("endpoint").eqNullSafe(F.col("e")) & (F.col("grouping") == F.col("g"))
+    within = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(5 * F.col("standard_error") * F.col("exact"), F.lit(2.0))
+    return exact.join(estimates, same, "left").select(
+        F.date_format("d", "yyyy-MM-dd").alias("day"), F.col("e").alias("endpoint"), F.col("g").alias("grouping"), "exact",
+        F.coalesce(within, F.lit(False)).alias("within_error"),
+    )
 
 
 def p7_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +44,21 @@ def p7_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.endpoint_percentiles(table(spark, folder, "api_performance_metrics"))
 
 
+def p7_within_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each window with its number of readings, and whether the exact percentiles lie within the sketch's bounds."""
+    metrics = table(spark, folder, "api_performance_metrics")
+    rows = metrics.where((F.col("responseTime") >= 0) & F.col("timestamp").isNotNull()).select("id", "endpoint", "method", "timestamp", "responseTime").distinct()
+    windows = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.date_trunc(w, "timestamp").alias("start")) for w in ("hour", "day")]))
+    rows = rows.select("endpoint", "method", "responseTime", windows.alias("w")).select("endpoint", "method", "responseTime", "w.window", F.col("w.start").alias("window_start"))
+    levels = quantiles.LEVELS
+    keys = ["endpoint", "method", "window", "window_start"]
+    exact = rows.groupBy(*keys).agg(F.percentile("responseTime", F.array(*map(F.lit, levels.values()))).alias("true"))
+    both = quantiles.endpoint_percentiles(metrics).join(exact, keys, "full")
+    held = [F.col("true")[i].between(F.col(f"{name}_low"), F.col(f"{name}_high")) for i, name in enumerate(levels)]
+    ok = F.array_min(F.array(*held))
+    return both.select("endpoint", "method", "window", F.unix_seconds("window_start").alias("start_s"), "n", F.coalesce(ok, F.lit(False)).alias("within_bounds"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """The published aggregates whose p95ResponseTime is wrong by more than a tenth."""
     return quantiles.wrong_published(
@@ -82,7 +111,9 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p5_distinct_clients": p5_distinct_clients,
     "p5_sketches": p5_sketches,
+    "p5_within_error": p5_within_error,
     "p7_found": p7_found,
+    "p7_within_bounds": p7_within_bounds,
     "p7_percentiles": p7_percentiles,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
@@ -95,6 +126,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p5_within_error": """
+with r as (select cast(timestamp as date) as d, endpoint as e, requestId as r from api_performance_metrics)
+select strftime(d, '%Y-%m-%d') as "day", e as endpoint, cast(grouping(d) * 2 + grouping(e) as integer) as "grouping", count(distinct r) as exact, true as within_error
+from r group by cube (d, e) having count(distinct r) > 0""",
+    "p7_within_bounds": """
+with m as (select distinct id, endpoint, method, timestamp as t, responseTime as v from api_performance_metrics where responseTime >= 0 and timestamp is not null),
+w as (select endpoint, method, unnest(['hour', 'day']) as w, t from m)
+select endpoint, method, w as "window", epoch(case w when 'hour' then date_trunc('hour', t) else date_trunc('day', t) end) :: bigint as start_s, count(*) as n, true as within_bounds
+from w group by 1, 2, 3, 4""",
     "p7_found": """
 with m as (select distinct id, endpoint, method, timestamp as t, responseTime as v from api_performance_metrics where responseTime >= 0),
 w as (

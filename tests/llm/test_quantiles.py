@@ -29,7 +29,47 @@ def test_bounds_hold_the_truth_small_and_large(spark):
         own = [x[4] for x in rows if x[1] == endpoint]
         assert r.n == len(own)
         for name, level in q.LEVELS.items():
-            assert r[f"{name}_low"] <= np.percentile(own, level * 100) <= r[f"{name}_high"]
+            assert r[f"{name}_low"] <= np.percentile(own, level * 100) + 1e-9 and np.percentile(own, level * 100) - 1e-9 <= r[f"{name}_high"]
+
+
+def test_sketches_far_above_their_size_keep_their_bounds(spark):
+    rows = draw(200_000, 5)
+    own = [x[4] for x in rows]
+    df = metrics(spark, rows).repartition(7)
+    for k in (64, q.K):
+        (r,) = [x for x in q.endpoint_percentiles(df, k=k).collect() if x.window == "hour"]
+        for name, level in q.LEVELS.items():
+            low, true, high = r[f"{name}_low"], np.percentile(own, level * 100), r[f"{name}_high"]
+            assert low <= true <= high
+            # Not wider than the error allows: twice it, in ranks, and what the steps round up.
+            width = np.mean([low <= x <= high for x in own])
+            assert width <= 2 * q.SURE * q.rank_error(k) * q.STEP + 0.02
+    assert abs(q.rank_error() - 0.00138) < 0.00001
+
+
+def test_small_sketches_are_exact(spark):
+    rows = [x for n in [*range(1, 140), 255, 256] for x in draw(n, n, f"/{n}")]
+    got = {r.endpoint: r for r in q.endpoint_percentiles(metrics(spark, rows), k=256).where("window = 'hour'").collect()}
+    assert len(got) == 141
+    for endpoint, r in got.items():
+        own = [x[4] for x in rows if x[1] == endpoint]
+        for name, level in q.LEVELS.items():
+            true = np.percentile(own, level * 100)
+            assert r[f"{name}_low"] <= true + 1e-9 and true - 1e-9 <= r[f"{name}_high"]
+            assert name == "p99" or abs(r[name] - true) < 1e-6
+
+
+def test_small_windows_are_decided_by_their_sketches(spark):
+    rows = [x for e in range(40) for x in draw(500 + e, e, f"/{e}")]
+    df = metrics(spark, rows)
+    start, pick = dt.datetime(2024, 1, 1), random.Random(3)
+    published = []
+    for e in range(40):
+        true = float(np.percentile([x[4] for x in rows if x[1] == f"/{e}"], 95))
+        published += [(f"{e}-{i}", f"/{e}", "GET", "hour", start, true * pick.uniform(0.8, 1.25), "x") for i in range(20)]
+    judged, _ = q.judged_published(spark.createDataFrame(published, AGGREGATES), df)
+    verdicts = [r.verdict for r in judged.collect()]
+    assert len(verdicts) == 800 and verdicts.count("undecided") == 0
 
 
 def test_merged_hours_are_days(spark):
