@@ -179,46 +179,35 @@ class Index:
         for size, found in sized.items():
             self.sized[size] = (list(found), Blocks(np.array(list(found.values()), dtype=np.uint64), radius))
 
-    def _runs(self, codes, counts, starts, best) -> None:
-        """Equal windows: the longest run of common words of each item, from windows on one diagonal of places."""
+    def _runs(self, codes, counts, offset, starts, texts, runs) -> None:
+        """Equal windows, by text and item and the diagonal of places they lie on."""
         import numpy as np
 
-        prints = _prints(counts, starts, self.window)
+        prints = _prints(counts, starts - offset, self.window)
         first, last = np.searchsorted(self.exact, prints, "left"), np.searchsorted(self.exact, prints, "right")
-        diagonals: dict[int, dict[int, list[int]]] = {}
-        for i, a, b in zip(starts.tolist(), first.tolist(), last.tolist()):
+        hits = np.flatnonzero(last > first)
+        for i, text, a, b in zip(starts[hits].tolist(), texts[hits].tolist(), first[hits].tolist(), last[hits].tolist()):
             for item, place in self.exact_at[a:b]:
                 if (codes[i : i + self.window] == self.texts[item][place : place + self.window]).all():
-                    diagonals.setdefault(item, {}).setdefault(i - place, []).append(i)
-        for item, by_place in diagonals.items():
-            longest, at = 0, 0
-            for places in by_place.values():
-                run, start = 1, places[0]
-                for a, b in zip(places, [*places[1:], None]):
-                    if b == a + 1:
-                        run += 1
-                        continue
-                    if run + self.window - 1 > longest:
-                        longest, at = run + self.window - 1, start
-                    run, start = 1, b
-            best[item] = (1.0, longest, at)
-
-    def _near(self, codes, counts, starts, size, best) -> None:
-        """Item-sized windows within the radius, compared word pair by word pair."""
+                    runs.setdefault((text, item), {}).setdefault(i - place, []).append(i)
+
+    def _near(self, codes, counts, offset, starts, texts, size, runs, best) -> None:
+        """Item-sized windows within the radius, compared word pair by word pair; needless where a window is equal."""
         places, blocks = self.sized[size]
-        at, found = blocks.candidates(_prints(counts, starts, size))
-        for i, j in zip(starts[at].tolist(), found.tolist()):
+        at, found = blocks.candidates(_prints(counts, starts - offset, size))
+        for i, text, j in zip(starts[at].tolist(), texts[at].tolist(), found.tolist()):
             item, place = places[j]
-            if best.get(item, (0.0,))[0] < 1.0:
+            if (text, item) not in runs:
                 similarity = weighted_similarity(codes[i : i + size], self.texts[item][place : place + size])
-                if similarity >= max(self.least, best.get(item, (0.0,))[0]):
-                    best[item] = (similarity, 0, i)
+                if similarity >= max(self.least, best.get((text, item), (0.0,))[0]):
+                    best[text, item] = (similarity, 0, i)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         """(text's number, item's number, best similarity, longest common run of words, its place) of each pair found.
 
         All texts are split at once. A window is looked up only if so many of its words are items' words that it can
-        match: all for an equal one; for a similar one as many as it must have common pairs.
+        match: all for an equal one; for a similar one as many as it must have common pairs. Texts without such a
+        window go no further.
         """
         import numpy as np
 
@@ -226,6 +215,7 @@ class Index:
         codes = np.fromiter(map(self.codes.get, tokens, repeat(0)), dtype=np.int32, count=len(tokens))
         known = np.concatenate([[0], np.cumsum(codes > 0)])
         breaks = np.concatenate([[0], np.cumsum(codes < 0)])
+        begins = np.concatenate([[0], np.flatnonzero(codes < 0) + 1])
 
         def worth(size: int, least: float):
             n = len(codes) - size + 1
@@ -234,23 +224,52 @@ class Index:
             return np.flatnonzero((known[size:] - known[:n] >= least) & (breaks[size:] == breaks[:n]))
 
         share = 2 * self.least / (1 + self.least)
-        starts = {size: worth(size, share * (size - 1)) for size in self.sized}
-        starts[0] = worth(self.window, self.window)
-        edges = np.concatenate([[-1], np.flatnonzero(codes < 0), [len(codes)]])
-        out = []
-        for text in np.unique(np.concatenate([breaks[s] for s in starts.values()])).tolist():
-            low, high = int(edges[text]) + 1, int(edges[text + 1])
-            own = codes[low:high]
-            counts = _running(np.array([self.hashes[t] for t in tokens[low:high]], dtype=np.uint64))
-            best: dict[int, tuple[float, int, int]] = {}
-            for size in sorted(starts):
-                a, b = np.searchsorted(starts[size], [low, high])
-                if b > a and size:
-                    self._near(own, counts, starts[size][a:b] - low, size, best)
-                elif b > a and len(self.exact):
-                    self._runs(own, counts, starts[size][a:b] - low, best)
-            out += [(text, item, *found) for item, found in best.items()]
-        return out
+        sized = {size: worth(size, share * (size - 1)) for size in self.sized}
+        equal = worth(self.window, self.window)
+        kept = np.zeros(len(begins), dtype=bool)
+        for starts in (equal, *sized.values()):
+            kept[breaks[starts]] = True
+        # The words of the texts that are left, end to end, and each window's place among them.
+        inside = kept[breaks[:-1]] & (codes >= 0)
+        to = np.cumsum(inside) - 1
+        left = np.flatnonzero(inside)
+        codes = codes[left]
+        hashes = np.fromiter((self.hashes[tokens[i]] for i in left), dtype=np.uint64, count=len(left))
+        runs: dict[tuple[int, int], dict[int, list[int]]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        longest = max([self.window, *sized])
+        for offset in range(0, len(codes), WORDS):
+            counts = _running(hashes[offset : offset + WORDS + longest])
+            for size, starts in [(0, equal), *sized.items()]:
+                own = starts[slice(*np.searchsorted(to[starts], [offset, offset + WORDS]))]
+                if not len(own):
+                    continue
+                if size:
+                    self._near(codes, counts, offset, to[own], breaks[own], size, runs, best)
+                elif len(self.exact):
+                    self._runs(codes, counts, offset, to[own], breaks[own], runs)
+        for key, diagonals in runs.items():
+            best[key] = (1.0, *_longest(diagonals, self.window))
+        return [(text, item, x, run, int(left[at] - begins[text])) for (text, item), (x, run, at) in best.items()]
+
+
+#: Words whose bits are counted at once.
+WORDS = 100_000
+
+
+def _longest(diagonals: dict[int, list[int]], window: int) -> tuple[int, int]:
+    """The longest run of common words, from the windows on each diagonal, and its first word's place."""
+    longest, at = 0, 0
+    for places in diagonals.values():
+        run, start = 1, places[0]
+        for a, b in zip(places, [*places[1:], None]):
+            if b == a + 1:
+                run += 1
+                continue
+            if run + window - 1 > longest:
+                longest, at = run + window - 1, start
+            run, start = 1, b
+    return longest, at
 
 
 def weighted_similarity(a, b, length: int = 2) -> float:
