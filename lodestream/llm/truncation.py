@@ -191,22 +191,23 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     ends = rows.mapInPandas(
         _endings, f"doc_id {kinds[key]}, source {kinds[source]}, copy long, chars long, verdict string, tail string, head string"
     )
-    bare = lambda c: F.coalesce(form(F.col(c)), F.lit(""))
-    ends = ends.select("doc_id", "source", "copy", "chars", "verdict", bare("tail").alias("form"), bare("head").alias("head")).repartition("doc_id")
-    # Columns that the baseline has no use for, and conditions on whole groups in place of filters, keep the shuffle
-    # the same for all its readers, so that Spark makes it once.
-    everything = [F.count("doc_id").alias("__k"), F.max("chars").alias("__c"), F.max("verdict").alias("__v")]
-    same = (F.col("__k") >= 0) & (F.col("__c") >= 0) & F.col("__v").isNotNull()
-
-    def copies(by: list[str], other: list[str]) -> DataFrame:
-        """Different texts by group: one row for each text and group, empty forms left out."""
-        extra = [F.max(F.length(c)).alias(f"__{c}") for c in other]
-        one = ends.groupBy(*by, "copy").agg(F.max(F.length(by[-1])).alias("__length"), *everything, *extra)
-        for c in other:
-            one = one.where(F.col(f"__{c}").isNotNull())
-        return one.where((F.col("__length") > 0) & same).select(*by, "copy")
-
-    cells = copies(["source", "form"], ["head"])
+    # What is kept of a text travels in one array, of which no reader can prune anything; and where only some groups
+    # count, whole groups are left out, as a filter on rows would be pushed below the shuffle. Either would make it
+    # another shuffle for each reader, and parse the texts anew.
+    kept = ["source", "verdict", "copy", "chars", form(F.col("tail")), form(F.col("head"))]
+    ends = ends.select("doc_id", F.array(*[(F.col(c) if isinstance(c, str) else c).cast("string") for c in kept]).alias("kept")).repartition("doc_id")
+    held = lambda n: F.coalesce(F.col("kept")[n], F.lit(""))
+    ends = ends.select(
+        "doc_id", F.col("kept")[0].cast(kinds[source]).alias("source"), held(1).alias("verdict"), held(2).cast("long").alias("copy"),
+        held(3).cast("long").alias("chars"), held(4).alias("form"), held(5).alias("head"),
+    )
+
+    def copies(name: str) -> DataFrame:
+        """Different texts by source and ``name``: one row for each; those without are left out."""
+        one = ends.groupBy("source", name, "copy").agg(F.max(F.length(name)).alias("length"))
+        return one.where(F.col("length") > 0).select("source", name, "copy")
+
+    cells = copies("form")
     own = cells.groupBy("source", "form").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("form", r"\s+"))).alias("words"))
     sources = own.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("all"))
     owned = own.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -220,7 +221,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     by_source = enough(F.col("n"), F.col("all")) | elsewhere
     usual = kept.where(F.when(F.col("all") >= SOURCE_LEAST, by_source).otherwise(enough(F.col("n_everywhere"), F.col("all_everywhere"))))
     usual = usual.where(F.col("words") >= WHOLE_WORDS).select("source", "form")
-    heads = copies(["source", "head"], ["form"]).groupBy("head").agg(F.count_distinct("copy").alias("n"))
+    heads = copies("head").groupBy("head").agg(F.count_distinct("copy").alias("n"))
     heads = heads.where(F.col("n") >= WHOLE_LINES).select(F.col("head").alias("form"))
     titles = own.select("source", "form").join(heads, "form", "left_semi").select("source", "form")
     whole = usual.unionByName(titles).distinct().select(F.col("source").alias("s"), F.col("form").alias("known"))
@@ -232,8 +233,6 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     meet = (F.col("__asked") == F.col("known")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("__own") == F.col("__salt"))
     placed = salted.join(whole, meet, "left")
     ended = (F.col("verdict") == "cut") | (tail & F.col("known").isNull())
-    # Of the head and the copy the verdicts need nothing; asking for them keeps the shuffle the same.
-    ended = ended & (F.length("head") >= 0)
     reason = F.when(ended, F.when(F.col("verdict") == "cut", F.lit("structure")).otherwise(F.lit("ending")))
     return placed.select("doc_id", "source", "chars", ended.alias("truncated"), reason.alias("reason"))
 

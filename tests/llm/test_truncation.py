@@ -90,10 +90,11 @@ def test_three_copies_of_a_cut_text_stay_cut(spark):
 
 
 def test_texts_are_parsed_once(spark):
-    plan = judge(spark, [("s", f"Some text {i}") for i in range(50)])
-    plan.collect()
-    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("MapInPandas") == 1 and "ReusedExchange" in final
+    verdicts = judge(spark, [("s", f"Some text {i}") for i in range(50)])
+    for plan in (verdicts, verdicts.where("truncated").select("doc_id"), t.truncation_rates(verdicts)):
+        plan.collect()
+        final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("MapInPandas") == 1 and "ReusedExchange" in final
 
 
 def test_sources_have_baselines_of_their_own(spark):
