@@ -179,8 +179,10 @@ def exact_percentile(windows: DataFrame, readings: DataFrame, level: float) -> D
     distinct values, not rows.
     """
     hours = F.when(F.col("window") == "day", F.sequence("window_start", F.col("window_start") + F.expr("interval 23 hours"), F.expr("interval 1 hour")))
-    wanted = windows.select("id", "endpoint", "method", F.explode(F.coalesce(hours, F.array("window_start"))).alias("window_start"))
-    counts = readings.join(wanted, KEYS).groupBy("id", "value").agg(F.count(F.lit(1)).alias("c"))
+    wanted = windows.select("id", F.col("endpoint").alias("e"), F.col("method").alias("m"), F.explode(F.coalesce(hours, F.array("window_start"))).alias("w"))
+    # Null-safe, as a condition that a key isn't NULL would reach below the shuffle of the readings and make it another.
+    same = F.col("endpoint").eqNullSafe(F.col("e")) & F.col("method").eqNullSafe(F.col("m")) & F.col("window_start").eqNullSafe(F.col("w"))
+    counts = readings.join(wanted, same).groupBy("id", "value").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("id").orderBy("value")
     placed = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy("id")))
     at = (F.col("n") - 1) * F.lit(level)
