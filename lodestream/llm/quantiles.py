@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from fractions import Fraction
 
@@ -138,6 +139,16 @@ def _percentiles(readings: DataFrame, k: int, levels: dict[str, float]) -> DataF
     return percentiles(both, ["endpoint", "method", "window", "window_start"], k, levels)
 
 
+def same_window(**others: str) -> Column:
+    """The condition of a join on the keys of a window: endpoint and method, by the other side's e and m, and ``others``.
+
+    It is null-safe, as a condition that a key isn't NULL would reach below the shuffle of the readings and make it
+    another for each reader.
+    """
+    pairs = {"endpoint": "e", "method": "m", **others}
+    return functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(v)) for k, v in pairs.items()])
+
+
 def judged_published(aggregates: DataFrame, metrics: DataFrame, tolerance: float = 0.1, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The rows of ``aggregates`` with the sketches' bounds (id, keys, published, p95, verdict) and the readings they come from.
 
@@ -147,10 +158,11 @@ def judged_published(aggregates: DataFrame, metrics: DataFrame, tolerance: float
     readings = _readings(metrics)
     measured = _percentiles(readings, k, {"p95": LEVELS["p95"]})
     published = aggregates.where(F.col("p95ResponseTime").isNotNull()).select(
-        "id", "endpoint", "method", F.lower(F.trim("aggregationWindow")).alias("window"),
-        F.date_trunc("hour", "timestamp").alias("window_start"), F.col("p95ResponseTime").cast("double").alias("published"),
+        "id", F.col("endpoint").alias("e"), F.col("method").alias("m"), F.lower(F.trim("aggregationWindow")).alias("w"),
+        F.date_trunc("hour", "timestamp").alias("t"), F.col("p95ResponseTime").cast("double").alias("published"),
     )
-    judged = published.dropDuplicates(["id"]).join(measured, ["endpoint", "method", "window", "window_start"])
+    published = published.dropDuplicates(["id"]).dropna(subset=["e", "m", "w", "t"])
+    judged = published.join(measured, same_window(window="w", window_start="t"))
     at = F.col("published")
     wrong = (at > F.col("p95_high") * (1 + tolerance)) | (at < F.col("p95_low") * (1 - tolerance))
     right = (at <= F.col("p95_low") * (1 + tolerance)) & (at >= F.col("p95_high") * (1 - tolerance))
@@ -179,10 +191,8 @@ def exact_percentile(windows: DataFrame, readings: DataFrame, level: float) -> D
     distinct values, not rows.
     """
     hours = F.when(F.col("window") == "day", F.sequence("window_start", F.col("window_start") + F.expr("interval 23 hours"), F.expr("interval 1 hour")))
-    wanted = windows.select("id", F.col("endpoint").alias("e"), F.col("method").alias("m"), F.explode(F.coalesce(hours, F.array("window_start"))).alias("w"))
-    # Null-safe, as a condition that a key isn't NULL would reach below the shuffle of the readings and make it another.
-    same = F.col("endpoint").eqNullSafe(F.col("e")) & F.col("method").eqNullSafe(F.col("m")) & F.col("window_start").eqNullSafe(F.col("w"))
-    counts = readings.join(wanted, same).groupBy("id", "value").agg(F.count(F.lit(1)).alias("c"))
+    wanted = windows.select("id", F.col("endpoint").alias("e"), F.col("method").alias("m"), F.explode(F.coalesce(hours, F.array("window_start"))).alias("t"))
+    counts = readings.join(wanted, same_window(window_start="t")).groupBy("id", "value").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("id").orderBy("value")
     placed = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy("id")))
     at = (F.col("n") - 1) * F.lit(level)
