@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.dsl.language import Both, Either, Neither, Predicate, Rule
@@ -122,12 +121,13 @@ def _patterns(condition) -> list[str]:
     return _patterns(condition.left) + _patterns(condition.right)
 
 
-def usable(rule: Rule) -> bool:
-    """Whether the rule's patterns can be compiled; one that can't finds nothing."""
+def usable(rule: Rule, spark: SparkSession) -> bool:
+    """Whether the engine that runs the rule's patterns can compile them; a rule with one that it can't finds nothing."""
+    engine = spark.sparkContext._jvm.java.util.regex.Pattern
     try:
         for pattern in _patterns(rule.condition):
-            re.compile(pattern)
-    except re.error:
+            engine.compile(rf"(?U)\b{pattern}\b")
+    except IllegalArgumentException:
         return False
     return True
 
@@ -160,7 +160,7 @@ def run_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
     base = files.select(F.col("file").cast("string").alias("file"), "source").where(F.col("source").isNotNull())
     base = base.withColumn("lines", lines_of(F.col("source")))
     found = []
-    for rule in filter(usable, rules):
+    for rule in [r for r in rules if usable(r, files.sparkSession)]:
         endings = [e for language, es in ENDINGS.items() if rule.language in ("any", language) for e in es]
         mine = F.lit(False)
         for ending in endings:

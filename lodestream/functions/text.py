@@ -32,3 +32,13 @@ def jaccard(left: Column, right: Column) -> Column:
     """Jaccard similarity of two token arrays; two empty ones give 1.0."""
     union = F.size(F.array_union(left, right))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
+
+
+def slug(column: Column) -> Column:
+    """Lower-cased, with a hyphen for every run of other characters than letters and digits, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def titled(column: Column) -> Column:
+    """The first letter upper-cased, the others lower-cased."""
+    return F.concat(F.upper(F.substring(column, 1, 1)), F.lower(F.substring(column, 2, 2**31 - 2)))

@@ -12,24 +12,21 @@ def _edges(edges: DataFrame, source: str, target: str) -> DataFrame:
     return edges.select(F.col(f"`{source}`").alias("a"), F.col(f"`{target}`").alias("b")).dropna().distinct()
 
 
-def reachable(edges: DataFrame, source: str, target: str, rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All pairs (a, b) such that a path of one edge or more leads from a to b; a node on a cycle reaches itself.
 
     Paths double each round, so a graph of depth d takes log d rounds; the result is as large as the closure.
     Edges with a NULL end are ignored.
     """
     pairs, size = cut(_edges(edges, source, target)), -1
-    for _ in range(rounds):
-        n = pairs.count()
-        if n == size:
-            break
+    while (n := pairs.count()) != size:
         size = n
         longer = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
         pairs = cut(pairs.unionByName(longer).distinct())
     return pairs
 
 
-def subtree_sums(nodes: DataFrame, node: str, parent: str, value: str, rounds: int = 64) -> DataFrame:
+def subtree_sums(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """node, size, total and depth of every node of a forest: over itself and all nodes below it.
 
     A parent that isn't a node is no parent. Sums meet their ancestors through the closure of the parent edges, added
@@ -37,14 +34,14 @@ def subtree_sums(nodes: DataFrame, node: str, parent: str, value: str, rounds: i
     """
     base = nodes.select(F.col(f"`{node}`").alias("node"), F.col(f"`{parent}`").alias("parent"), F.col(f"`{value}`").alias("value")).where(F.col("node").isNotNull())
     real = base.select("node", "parent").join(base.select(F.col("node").alias("parent")), "parent", "left_semi")
-    above = reachable(real, "node", "parent", rounds)
+    above = reachable(real, "node", "parent")
     pairs = above.select(F.col("a").alias("node"), F.col("b").alias("top")).unionByName(base.select("node", F.col("node").alias("top")))
     sums = pairs.join(base.select("node", "value"), "node").groupBy(F.col("top").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.sum("value").alias("total"))
     depth = above.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("depth"))
     return sums.join(depth, "node", "left").select("node", "size", "total", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
-def levels(edges: DataFrame, source: str, target: str, rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, source: str, target: str) -> DataFrame:
     """node, level: 0 for nodes that depend on nothing, else one more than the highest level among those depended on.
 
     ``source`` depends on ``target``. Nodes on cycles, and those that depend on one, have no level and are left out.
@@ -53,12 +50,14 @@ def levels(edges: DataFrame, source: str, target: str, rounds: int = 1000) -> Da
     open_links = cut(links)
     everything = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     waiting, done, level = cut(everything), None, 0
-    for level in range(rounds):
+    while True:
         ready = cut(waiting.join(open_links.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
         ranked = ready.withColumn("level", F.lit(level))
-        done = ranked if done is None else done.unionByName(ranked)
+        done, level = ranked if done is None else done.unionByName(ranked), level + 1
+        if level % 32 == 0:  # the plan stays small, however many levels there are
+            done = cut(done)
         waiting = cut(waiting.join(ready, "node", "left_anti"))
         open_links = cut(open_links.join(ready.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
     return done if done is not None else everything.withColumn("level", F.lit(0)).limit(0)

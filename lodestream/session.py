@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,19 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "lodestream") -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only a session that names none gets a local one."""
+    """Use the folder of ``spark.checkpoint.dir``; a local session that names none gets one that goes when it ends.
+
+    On a cluster a folder of one machine would lose what others need, so a session there must name a shared one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "lodestream-checkpoint"))
+        if configured is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if configured is None:
+            configured = tempfile.mkdtemp(prefix="lodestream-checkpoint-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,12 +13,20 @@ SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "target")
 def source_files(spark: SparkSession, root: str, endings: tuple[str, ...] = SOURCE_ENDINGS, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """file, source of every file under ``root`` with one of the endings and outside the skipped folders.
 
-    The walk is the engine's own recursive listing; files are read whole, each as one row, where they lie.
+    The walk is the engine's own recursive listing; files are read whole, each as one row, where they lie. Folders are
+    skipped below ``root`` only: the root itself may lie in a folder of such a name.
     """
+    import os
+    from urllib.parse import quote, urlparse
+
+    plain = urlparse(root).path if "://" in root else os.path.abspath(root)
+    above = quote(plain.rstrip("/"), safe="/!$&'()*+,;=:@~")
     pattern = "*{" + ",".join(endings) + "}"
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     named = rows.select(F.input_file_name().alias("file"), F.col("value").alias("source"))
-    return named.where(~F.col("file").rlike("/(" + "|".join(x.replace(".", r"\.") for x in skipped) + ")/"))
+    below = F.expr("substring(file, locate(above, file) + length(above))")
+    inside = named.withColumn("above", F.lit(above)).withColumn("below", below)
+    return inside.where(~F.col("below").rlike("/(" + "|".join(x.replace(".", r"\.") for x in skipped) + ")/")).select("file", "source")
 
 
 def glob_pattern(glob: str) -> str:

@@ -53,11 +53,14 @@ def overwrite_days(df: DataFrame, path: str, day: str) -> None:
 
 
 def retained(df: DataFrame, time: str, cutoff: str, key: list[str] | None = None, newest: int | None = None) -> DataFrame:
-    """The rows at or after ``cutoff`` and, if asked, of each key only the ``newest``; rows without time are kept."""
+    """The rows at or after ``cutoff`` and, if asked, of each key only the ``newest``; rows without time are kept.
+
+    Ties in time are broken by the rows' other columns, so that the same rows stay whenever it runs.
+    """
     kept = df.where(F.col(time).isNull() | (F.col(time) >= F.lit(cutoff).cast("timestamp")))
     if key and newest:
         from pyspark.sql import Window
 
-        order = Window.partitionBy(*key).orderBy(F.col(time).desc_nulls_last())
+        order = Window.partitionBy(*key).orderBy(F.col(time).desc_nulls_last(), F.xxhash64(*df.columns))
         kept = kept.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= newest).drop("__k")
     return kept

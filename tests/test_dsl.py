@@ -43,6 +43,13 @@ def test_conditions(spark, condition, source, wanted):
     assert find(spark, rule(condition), source) == wanted
 
 
+@pytest.mark.parametrize("pattern, lines", [(r"(?P<x>fn)", []), (r"\\p{Lu}", [1]), (r"(?<x>fn)", [1]), ("[", [])])
+def test_patterns_are_tried_by_the_engine_that_runs_them(spark, pattern, lines):
+    good = rule('contains_pattern("main")').replace("rule r ", "rule good ")
+    rows = run_rules(spark.createDataFrame([("a.rs", "fn main() { A }")], "file string, source string"), parse_rules(rule(f'contains_pattern("{pattern}")') + good)).collect()
+    assert [r.line for r in rows if r.rule_id == "r"] == lines and [r.line for r in rows if r.rule_id == "good"] == [1]
+
+
 def test_language_and_null_source(spark):
     text = rule('contains_pattern("a")', language="solidity")
     assert find(spark, text, "a", "x.rs") == [] and len(find(spark, text, "a", "x.sol")) == 1

@@ -15,6 +15,20 @@ def test_source_tree(spark, tmp_path):
     assert sorted(r.file.rpartition("/")[2] for r in rows) == ["a.sol", "c.rs"] and rows[0].source == "line one\nline two\n"
 
 
+def test_a_root_inside_a_skipped_folder(spark, tmp_path):
+    for name in ("build/my tree/a.sol", "build/my tree/dist/b.sol"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    rows = files.source_files(spark, str(tmp_path / "build" / "my tree")).collect()
+    assert [r.file.rpartition("/")[2] for r in rows] == ["a.sol"]
+
+
+def test_ties_in_retention(spark):
+    df = spark.createDataFrame([("a", at(0), i) for i in range(50)], "k string, t timestamp, i int")
+    one = {tuple(sinks.retained(df.repartition(n), "t", "2024-01-01", ["k"], 3).sort("i").select("i").toPandas().i) for n in (1, 3, 7)}
+    assert len(one) == 1
+
+
 def test_globs(spark):
     df = spark.createDataFrame([("src/a.rs",), ("src/deep/b.rs",), ("test/a.rs",)], "p string")
     keep = lambda **k: sorted(r.p for r in files.path_filter(df, "p", **k).collect())

@@ -54,7 +54,13 @@ def test_flags_are_merged_and_a_rerun_changes_nothing(spark, tmp_path):
     batches = [spark.createDataFrame(rows, "k string, flagged long, worst double") for rows in ([("a", 1, 2.0), ("a", 2, 5.0)], [("a", 3, 1.0), ("b", 1, 1.0)])]
     for number in (0, 1, 1):
         merge(batches[number], number)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "flags" / "version=1")).collect())) == [("a", 6, 5.0, 3), ("b", 1, 1.0, 1)]
+    table = lambda: sorted(map(tuple, monitors.flags(spark, str(tmp_path / "flags")).collect()))
+    assert table() == [("a", 6, 5.0, 3), ("b", 1, 1.0, 1)]
+    for number in (2, 3, 4):
+        merge(spark.createDataFrame([("a", 1, 9.0)], "k string, flagged long, worst double"), number)
+    assert table() == [("a", 9, 9.0, 6), ("b", 1, 1.0, 1)]
+    # A batch touches its own bucket only, and two versions of it are kept.
+    assert sorted(map(len, monitors._versions(spark, str(tmp_path / "flags")).values())) == [1, 2]
 
 
 def test_levels(spark):
