@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,78 @@ def without_repeats(df: DataFrame, keys: list[str], order: list[str], chunk: str
         same = same & F.lag(c).over(inside).eqNullSafe(F.col(c))
     first = F.row_number().over(inside) == 1
     return df.withColumn("__first", first | ~same).where("__first").drop("__first")
+
+
+#: Rows of one group that a task orders, beside those that its frames reach back to.
+BLOCK = 100_000
+#: Length of the stretches of time into which a group is cut.
+CHUNK_US = 86_400_000_000
+
+
+def _day(time: str) -> Column:
+    return F.coalesce(F.floor(F.unix_micros(F.col(time)) / F.lit(CHUNK_US)), F.lit(-(2**40)))
+
+
+def with_frames(
+    df: DataFrame, keys: list[str], order: list[str], reach: int, frames: dict[str, Callable[[object], Column]], block: int = BLOCK
+) -> DataFrame:
+    """Add a column for each of ``frames``: a function of a window specification that looks at most ``reach`` rows back.
+
+    ``order`` begins with a timestamp and ends with a unique column. ``at_row`` is the row's zero-based place in its
+    group. A group is numbered day by day and cut into blocks of rows, each with ``reach`` rows of the one before, so
+    that a hot group is spread over tasks. Keys must not be NULL.
+    """
+    block = max(block, reach, 1)
+    rows = df.withColumns({"__one": F.lit(1), "__day": _day(order[0])})
+    placed = with_places(rows, keys, order, "__day", {"row": "__one"}, chunk_counts(rows, keys, "__day", {"row": "__one"}))
+    own = F.floor(F.col("at_row") / block)
+    spread = placed.withColumn("__block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at_row") + reach) / block)))))
+    window = Window.partitionBy(*keys, "__block").orderBy("at_row")
+    made = spread.select(*df.columns, "at_row", "__block", *[f(window).alias(n) for n, f in frames.items()])
+    return made.where(F.col("__block") == own).drop("__block")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add at_row, the row's zero-based place in its group, and all_row, the group's size; day by day, as in :func:`with_frames`."""
+    rows = df.withColumns({"__one": F.lit(1), "__day": _day(order[0])})
+    placed = with_places(rows, keys, order, "__day", {"row": "__one"}, chunk_counts(rows, keys, "__day", {"row": "__one"}))
+    return placed.select(*df.columns, "at_row", "all_row")
+
+
+def with_latest(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the last row of the group, this one included, that has one (isn't NULL).
+
+    ``order`` begins with a timestamp. A group is ordered day by day, each in its own task; only the days' last values
+    are ordered over it.
+    """
+    rows = df.withColumns({"__value": value, "__day": _day(order[0])})
+    inside = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.last("__value", ignorenulls=True).over(inside))
+    ends = rows.groupBy(*keys, "__day").agg(F.max_by("__here", F.struct(*order)).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__day", F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+    return rows.join(ends, [*keys, "__day"]).withColumn(out, F.coalesce("__here", "__earlier")).select(*df.columns, out)
+
+
+def with_recent(df: DataFrame, keys: list[str], time: str, reach_us: int, frames: dict[str, Callable[[object], Column]]) -> DataFrame:
+    """Add a column for each of ``frames``: a function of a window specification over the rows of the last ``reach_us``.
+
+    A group is cut into days, each with the rows that its frames reach back to, so that a hot group is spread over
+    tasks and rows are shuffled once. Rows that tie in ``time`` see one another; rows without time see only those.
+    """
+    at = F.unix_micros(F.col(time))
+    own = _day(time)
+    later = F.coalesce(F.floor((at + reach_us) / F.lit(CHUNK_US)), F.lit(-(2**40)))
+    spread = df.withColumn("__day", F.explode(F.sequence(own, later)))
+    window = Window.partitionBy(*keys, "__day").orderBy(at).rangeBetween(-reach_us, 0)
+    made = spread.select("*", *[f(window).alias(n) for n, f in frames.items()])
+    return made.where(F.col("__day") == own).drop("__day")
+
+
+def newest(df: DataFrame, keys: list[str], time: str, unique: str, n: int) -> DataFrame:
+    """The ``n`` newest rows of each group by time, then by a unique column: first of each day, then of those."""
+    order = [F.col(time).desc_nulls_last(), F.desc(unique)]
+    days = df.withColumn("__day", _day(time))
+    few = days.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(*order))).where(F.col("__k") <= n)
+    few = few.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__k") <= n)
+    return few.drop("__k", "__day")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import jaccard, levenshtein_similarity, squeeze, tokens
+from lodestream.operators.ordered import with_latest
 from lodestream.operators.similarity import near_duplicate_classes
 from lodestream.plans.aggregates import n_rows, ok
 from lodestream.plans.query import Register
@@ -325,9 +326,9 @@ select q.event_id, p.event_id as price_event from q asof left join p on q.chain_
 def as_of(v: Views) -> DataFrame:
     """The latest even-numbered price at or before each odd-numbered event of its chain: one ordering of both sides."""
     rows = v.prices.select("chain_id", "ts", "event_id", (F.col("event_id") % 2 == 0).alias("price"))
-    w = Window.partitionBy("chain_id").orderBy("ts", F.desc("price"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("price"), F.col("event_id")), ignorenulls=True).over(w)
-    return rows.select("event_id", "price", last.alias("price_event")).where(~F.col("price")).select("event_id", "price_event")
+    rows = rows.withColumn("later", ~F.col("price"))  # prices come first among rows of one time
+    placed = with_latest(rows, ["chain_id"], ["ts", "later", "event_id"], F.when(F.col("price"), F.col("event_id")), "price_event")
+    return placed.where("later").select("event_id", "price_event")
 
 
 @add("O01_union_all", "findings", "select rule_id from findings where severity = 'critical' union all select rule_id from findings where confidence > 0.09")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.ordered import newest, numbered, with_frames, with_recent
 from lodestream.plans.aggregates import n_rows, ok
 from lodestream.plans.query import Register
 from lodestream.plans.views import Views
@@ -13,16 +14,16 @@ QUERIES = Register()
 add = QUERIES.add
 
 
-def by_chain():
-    return Window.partitionBy("chain_id").orderBy("ts", "event_id")
+def of_chain(v: Views, reach: int, **frames) -> DataFrame:
+    """Prices with columns over the rows before them on their chain."""
+    return with_frames(v.prices, ["chain_id"], ["ts", "event_id"], reach, frames)
 
 
 @add("W01_percent_change", "prices", """
 with l as (select chain_id, event_id, base_fee, lag(base_fee) over (partition by chain_id order by ts, event_id) as before from prices)
 select chain_id, event_id, round(case when before is null or before <= 0 then 0 else (base_fee - before) / before * 100 end, 6) as change from l""")
 def percent_change(v: Views) -> DataFrame:
-    before = F.lag("base_fee").over(by_chain())
-    rows = v.prices.withColumn("before", before)
+    rows = of_chain(v, 1, before=lambda w: F.lag("base_fee").over(w))
     change = F.when(F.col("before") > 0, (F.col("base_fee") - F.col("before")) / F.col("before") * 100).otherwise(0.0)
     return rows.select("chain_id", "event_id", F.round(change, 6).alias("change"))
 
@@ -30,8 +31,8 @@ def percent_change(v: Views) -> DataFrame:
 @add("W02_moving_average", "prices", """
 select chain_id, event_id, round(coalesce(avg(base_fee) over (partition by chain_id order by ts, event_id rows between 10 preceding and 1 preceding), 0), 6) as mean from prices""")
 def moving_average(v: Views) -> DataFrame:
-    mean = F.avg("base_fee").over(by_chain().rowsBetween(-10, -1))
-    return v.prices.select("chain_id", "event_id", F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("mean"))
+    rows = of_chain(v, 10, mean=lambda w: F.avg("base_fee").over(w.rowsBetween(-10, -1)))
+    return rows.select("chain_id", "event_id", F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
 
 
 @add("W03_rolling_variation", "prices", """
@@ -39,10 +40,8 @@ with w as (select chain_id, event_id, count(*) over f as n, avg(base_fee) over f
   window f as (partition by chain_id order by ts, event_id rows between 10 preceding and 1 preceding))
 select chain_id, event_id, round(case when n < 2 or m = 0 then 0 else least(s / m, 1) end, 6) as variation from w""")
 def rolling_variation(v: Views) -> DataFrame:
-    frame = by_chain().rowsBetween(-10, -1)
-    rows = v.prices.select(
-        "chain_id", "event_id", F.count("base_fee").over(frame).alias("n"), F.avg("base_fee").over(frame).alias("m"), F.stddev_pop("base_fee").over(frame).alias("s")
-    )
+    over = lambda f: lambda w: f("base_fee").over(w.rowsBetween(-10, -1))
+    rows = of_chain(v, 10, n=over(F.count), m=over(F.avg), s=over(F.stddev_pop))
     cv = F.when((F.col("n") < 2) | (F.col("m") == 0), 0.0).otherwise(F.least(F.col("s") / F.col("m"), F.lit(1.0)))
     return rows.select("chain_id", "event_id", F.round(cv, 6).alias("variation"))
 
@@ -50,8 +49,7 @@ def rolling_variation(v: Views) -> DataFrame:
 @add("W04_ring_buffer", "prices", """
 with r as (select chain_id, event_id, row_number() over (partition by chain_id order by ts desc, event_id desc) as k from prices) select chain_id, event_id from r where k <= 100""")
 def ring_buffer(v: Views) -> DataFrame:
-    last = Window.partitionBy("chain_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return v.prices.withColumn("k", F.row_number().over(last)).where(F.col("k") <= 100).select("chain_id", "event_id")
+    return newest(v.prices, ["chain_id"], "ts", "event_id", 100).select("chain_id", "event_id")
 
 
 @add("W05_exponential_average", "prices", """
@@ -72,11 +70,8 @@ def exponential_average(v: Views) -> DataFrame:
 with r as (select chain_id, base_fee, row_number() over (partition by chain_id order by ts desc, event_id desc) as k, count(*) over (partition by chain_id) as n from prices)
 select chain_id, round(avg(case when k <= greatest(1, n // 10) then base_fee end) / avg(base_fee), 6) as ratio from r group by 1""")
 def mean_ratio(v: Views) -> DataFrame:
-    whole = Window.partitionBy("chain_id")
-    rows = v.prices.select(
-        "chain_id", "base_fee", F.row_number().over(whole.orderBy(F.desc("ts"), F.desc("event_id"))).alias("k"), F.count(F.lit(1)).over(whole).alias("n")
-    )
-    recent = F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    rows = numbered(v.prices.select("chain_id", "base_fee", "ts", "event_id"), ["chain_id"], ["ts", "event_id"])
+    recent = F.col("all_row") - F.col("at_row") <= F.greatest(F.lit(1), F.floor(F.col("all_row") / 10))
     return rows.groupBy("chain_id").agg(F.round(F.avg(F.when(recent, F.col("base_fee"))) / F.avg("base_fee"), 6).alias("ratio"))
 
 
@@ -96,9 +91,8 @@ with r as (select chain_id, base_fee, row_number() over (partition by chain_id o
 h as (select chain_id, avg(case when k <= n // 2 then base_fee end) as a, avg(case when k > n // 2 then base_fee end) as b, stddev_pop(base_fee) as s from r group by 1)
 select chain_id, round((b - a) / a * 100, 6) as change, case when (b - a) / a * 100 > 2 then 'up' when (b - a) / a * 100 < -2 then 'down' else 'stable' end as trend, round(greatest(0, 100 - 2 * s), 6) as confidence from h""")
 def trend_halves(v: Views) -> DataFrame:
-    whole = Window.partitionBy("chain_id")
-    rows = v.prices.select("chain_id", "base_fee", F.row_number().over(by_chain()).alias("k"), F.count(F.lit(1)).over(whole).alias("n"))
-    early = F.col("k") <= F.floor(F.col("n") / 2)
+    rows = numbered(v.prices.select("chain_id", "base_fee", "ts", "event_id"), ["chain_id"], ["ts", "event_id"])
+    early = F.col("at_row") < F.floor(F.col("all_row") / 2)
     halves = rows.groupBy("chain_id").agg(
         F.avg(F.when(early, F.col("base_fee"))).alias("a"), F.avg(F.when(~early, F.col("base_fee"))).alias("b"), F.stddev_pop("base_fee").alias("s")
     )
@@ -129,29 +123,29 @@ def leaderboard(v: Views) -> DataFrame:
 with b as (select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 600 second preceding and current row) as n from metrics)
 select user_id, event_id, n as nearby, case when n >= 15 then 'high' when n >= 8 then 'medium' else 'low' end as level from b where n >= 2""")
 def bursts(v: Views) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-600_000_000, 0)
     n = F.col("nearby")
     level = F.when(n >= 15, "high").when(n >= 8, "medium").otherwise("low")
-    return v.metrics.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("nearby")).where(n >= 2).withColumn("level", level)
+    rows = with_recent(v.metrics, ["user_id"], "ts", 600_000_000, {"nearby": lambda w: F.count(F.lit(1)).over(w)})
+    return rows.select("user_id", "event_id", "nearby").where(n >= 2).withColumn("level", level)
 
 
 @add("W12_failure_window", "metrics", """
 with f as (select user_id, event_id, avg(case when status_code >= 400 then 1.0 else 0.0 end) over (partition by user_id order by ts, event_id rows between 9 preceding and current row) as rate from metrics)
 select user_id, event_id, round(rate, 6) as rate, case when rate >= 0.7 then 'high' when rate >= 0.5 then 'medium' else 'low' end as level from f where rate >= 0.3""")
 def failure_window(v: Views) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    rate = F.avg((F.col("status_code") >= 400).cast("double")).over(w)
+    failing = lambda w: F.avg((F.col("status_code") >= 400).cast("double")).over(w.rowsBetween(-9, 0))
     r = F.col("r")
     level = F.when(r >= 0.7, "high").when(r >= 0.5, "medium").otherwise("low")
-    return v.metrics.select("user_id", "event_id", rate.alias("r")).where(r >= 0.3).select("user_id", "event_id", F.round(r, 6).alias("rate"), level.alias("level"))
+    rows = with_frames(v.metrics, ["user_id"], ["ts", "event_id"], 9, {"r": failing})
+    return rows.where(r >= 0.3).select("user_id", "event_id", F.round(r, 6).alias("rate"), level.alias("level"))
 
 
 @add("W13_spike_ratio", "tx_lines", """
 with s as (select merchant_id, id, line, gas_used, avg(gas_used) over (partition by merchant_id order by ts, id, line rows between 49 preceding and 1 preceding) as mean from tx_lines)
 select merchant_id, id, line, round(gas_used / mean, 6) as ratio from s where mean > 0 and gas_used / mean >= 1.5""")
 def spike_ratio(v: Views) -> DataFrame:
-    w = Window.partitionBy("merchant_id").orderBy("ts", "id", "line").rowsBetween(-49, -1)
-    rows = v.tx_lines.select("merchant_id", "id", "line", "gas_used", F.avg("gas_used").over(w).alias("mean"))
+    mean = lambda w: F.avg("gas_used").over(w.rowsBetween(-49, -1))
+    rows = with_frames(v.tx_lines.select("merchant_id", "id", "line", "gas_used", "ts"), ["merchant_id"], ["ts", "id", "line"], 49, {"mean": mean})
     ratio = F.col("gas_used") / F.col("mean")
     return rows.where((F.col("mean") > 0) & (ratio >= 1.5)).select("merchant_id", "id", "line", F.round(ratio, 6).alias("ratio"))
 
@@ -163,15 +157,13 @@ with d as (select user_id, event_id, row_number() over (partition by user_id ord
     response_time / nullif(avg(response_time) over (partition by user_id order by ts, event_id rows between 49 preceding and 1 preceding), 0) as spike from metrics)
 select user_id, event_id, case when burst >= 3 then 'burst' when failing >= 0.4 then 'failures' else 'spike' end as detected from d where seen >= 5 and (burst >= 3 or failing >= 0.4 or spike >= 4)""")
 def detector_precedence(v: Views) -> DataFrame:
-    base = Window.partitionBy("user_id")
-    order = base.orderBy("ts", "event_id")
-    near = base.orderBy(F.unix_micros("ts")).rangeBetween(-600_000_000, 0)
-    mean = F.avg("response_time").over(order.rowsBetween(-49, -1))
-    rows = v.metrics.select(
-        "user_id", "event_id", F.row_number().over(order).alias("seen"), F.count(F.lit(1)).over(near).alias("burst"),
-        F.avg((F.col("status_code") >= 400).cast("double")).over(order.rowsBetween(-9, 0)).alias("failing"),
-        (F.col("response_time") / F.nullif(mean, F.lit(0.0))).alias("spike"),
-    )
+    near = with_recent(v.metrics, ["user_id"], "ts", 600_000_000, {"burst": lambda w: F.count(F.lit(1)).over(w)})
+    frames = {
+        "failing": lambda w: F.avg((F.col("status_code") >= 400).cast("double")).over(w.rowsBetween(-9, 0)),
+        "mean": lambda w: F.avg("response_time").over(w.rowsBetween(-49, -1)),
+    }
+    rows = with_frames(near, ["user_id"], ["ts", "event_id"], 49, frames)
+    rows = rows.withColumns({"seen": F.col("at_row") + 1, "spike": F.col("response_time") / F.nullif(F.col("mean"), F.lit(0.0))})
     found = F.when(F.col("burst") >= 3, "burst").when(F.col("failing") >= 0.4, "failures").when(F.col("spike") >= 4, "spike")
     return rows.where((F.col("seen") >= 5) & found.isNotNull()).select("user_id", "event_id", found.alias("detected"))
 
@@ -197,8 +189,8 @@ def latest_series(v: Views) -> DataFrame:
 with g as (select endpoint, epoch_us(ts) - lag(epoch_us(ts)) over (partition by endpoint order by ts, event_id) as gap from metrics)
 select endpoint, round(avg(gap) / 1000000.0, 4) as mean_gap_s, max(gap) as longest_us from g group by 1""")
 def arrival_gaps(v: Views) -> DataFrame:
-    w = Window.partitionBy("endpoint").orderBy("ts", "event_id")
-    gaps = v.metrics.select("endpoint", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)).alias("gap"))
+    rows = with_frames(v.metrics.select("endpoint", "ts", "event_id"), ["endpoint"], ["ts", "event_id"], 1, {"before": lambda w: F.lag("ts").over(w)})
+    gaps = rows.select("endpoint", (F.unix_micros("ts") - F.unix_micros("before")).alias("gap"))
     return gaps.groupBy("endpoint").agg(F.round(F.avg("gap") / 1e6, 4).alias("mean_gap_s"), F.max("gap").alias("longest_us"))
 
 
@@ -206,9 +198,9 @@ def arrival_gaps(v: Views) -> DataFrame:
 with m as (select merchant_id, id, line, gas_used, avg(gas_used) over (partition by merchant_id order by ts, id, line rows between 9 preceding and current row) as mean from tx_lines)
 select merchant_id, id, line, gas_used from m where gas_used > 1.8 * mean""")
 def recent_outliers(v: Views) -> DataFrame:
-    w = Window.partitionBy("merchant_id").orderBy("ts", "id", "line").rowsBetween(-9, 0)
-    rows = v.tx_lines.select("merchant_id", "id", "line", "gas_used", F.avg("gas_used").over(w).alias("mean"))
-    return rows.where(F.col("gas_used") > 1.8 * F.col("mean")).drop("mean")
+    mean = lambda w: F.avg("gas_used").over(w.rowsBetween(-9, 0))
+    rows = with_frames(v.tx_lines.select("merchant_id", "id", "line", "gas_used", "ts"), ["merchant_id"], ["ts", "id", "line"], 9, {"mean": mean})
+    return rows.where(F.col("gas_used") > 1.8 * F.col("mean")).select("merchant_id", "id", "line", "gas_used")
 
 
 @add("W19_growth_trend", "findings", """
@@ -228,8 +220,7 @@ def growth_trend(v: Views) -> DataFrame:
 with r as (select merchant_id, id, created_at, row_number() over (partition by merchant_id order by created_at desc, id desc) as k from transactions)
 select merchant_id, id from r where k <= 5 and created_at >= timestamp '1996-01-01'""")
 def newest_per_key(v: Views) -> DataFrame:
-    w = Window.partitionBy("merchant_id").orderBy(F.desc("created_at"), F.desc("id"))
-    kept = v.transactions.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 5)
+    kept = newest(v.transactions, ["merchant_id"], "created_at", "id", 5)
     return kept.where(F.col("created_at") >= F.lit("1996-01-01").cast("timestamp")).select("merchant_id", "id")
 
 
@@ -354,8 +345,8 @@ def running_usage(v: Views) -> DataFrame:
 @add("Z12_sliding_limit", "metrics", """
 with c as (select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) as hour_n from metrics) select user_id, event_id, hour_n from c where hour_n > 1""")
 def sliding_limit(v: Views) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return v.metrics.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("hour_n")).where(F.col("hour_n") > 1)
+    rows = with_recent(v.metrics, ["user_id"], "ts", 3_600_000_000, {"hour_n": lambda w: F.count(F.lit(1)).over(w)})
+    return rows.select("user_id", "event_id", "hour_n").where(F.col("hour_n") > 1)
 
 
 @add("Z13_fixed_windows", "metrics", """
