@@ -56,10 +56,10 @@ def ring_buffer(v: Views) -> DataFrame:
 with l as (select chain_id, list(base_fee order by ts, event_id) as xs from prices group by 1)
 select chain_id, round(list_reduce(xs, lambda e, x: x * 0.08 + e * 0.92), 6) as ema from l""")
 def exponential_average(v: Views) -> DataFrame:
-    """Alpha 2 / 25, seeded by the first value. Closed form: every value adds its weight, so rows are summed before the shuffle."""
+    """Alpha 2 / 25, seeded by the first value. Closed form: every value adds its weight by its place, so only numbering needs an order, which is made day by day."""
     # The weight of the value k from the end is alpha * (1 - alpha)^k, of the first value (1 - alpha)^(n - 1).
-    rank = Window.partitionBy("chain_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = v.prices.select("chain_id", "base_fee", (F.row_number().over(rank) - 1).alias("k"))
+    rows = numbered(v.prices.select("chain_id", "base_fee", "ts", "event_id"), ["chain_id"], ["ts", "event_id"])
+    rows = rows.select("chain_id", "base_fee", (F.col("all_row") - 1 - F.col("at_row")).alias("k"))
     decay = F.pow(F.lit(0.92), F.col("k"))
     return rows.groupBy("chain_id").agg(
         F.round(F.sum(F.col("base_fee") * decay) * 0.08 + F.max_by("base_fee", "k") * F.pow(F.lit(0.92), F.max("k")) * 0.92, 6).alias("ema")
