@@ -126,7 +126,17 @@ QUERIES = {
     "p10_rates": p10_rates,
 }
 
+_WORDS = (
+    "regexp_extract_all(lower(regexp_replace(regexp_replace(text, '<[^<>\\n]{0,200}>|&[a-z]+;|&#x?[0-9a-fA-F]+;|\\\\[nrt\"]', ' ', 'g'), "
+    "'[\u00ad\u200b-\u200d\u2060\ufeff*_`~''\u2019]', '', 'g')), '[\\p{L}\\p{N}_]+')"
+)
+
 ORACLE = {
+    "p9_found": f"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from eval_items),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as s from d),
+iw as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as s from i)
+select distinct item_id, doc_id from dw join iw using (s)""",
     "p5_within_error": """
 with r as (select cast(timestamp as date) as d, endpoint as e, requestId as r from api_performance_metrics)
 select strftime(d, '%Y-%m-%d') as "day", e as endpoint, cast(grouping(d) * 2 + grouping(e) as integer) as "grouping", count(distinct r) as exact, true as within_error
