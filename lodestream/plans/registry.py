@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.plans.views import Views
 
-MODULES = ["aggregates", "series", "relational", "rules", "graphs", "detectors", "scalars", "further"]
+MODULES = ["aggregates", "series", "relational", "rules", "graphs", "detectors", "scalars", "further", "exchange"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: SARIF levels of severities, and the standard's version and schema.
@@ -12,8 +12,16 @@ SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
 def fixed(column, digits: int):
-    """A number as text with just so many decimals, NULL as an empty text."""
-    return F.when(column.isNotNull(), F.format_string(f"%.{digits}f", column.cast("double"))).otherwise("")
+    """A number as text with just so many decimals, rounded by its exact value; NULL as an empty text."""
+    x = column.cast("double")
+    text = F.when(F.isnan(x), F.lit("NaN")).otherwise(F.translate(F.format_number(x, digits), ",", ""))
+    return F.when(x.isNotNull(), text).otherwise("")
+
+
+def csv_line(cells: list) -> Column:
+    """A line of comma-separated cells: quoted where they hold a comma, quote or line break, quotes doubled; NULL is empty."""
+    quoted = [F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+    return F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in quoted])
 
 
 def write_csv(df: DataFrame, path: str, decimals: dict[str, int] | None = None) -> None:
@@ -22,19 +30,23 @@ def write_csv(df: DataFrame, path: str, decimals: dict[str, int] | None = None)
     rows.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
 
-def sarif(findings: DataFrame, tool: str) -> DataFrame:
-    """One row, column ``sarif``: the findings (rule_id, severity, message, file, line) as a SARIF log for each file.
-
-    A log holds one file's results, so no row gathers more than a file; a reader takes the rows as so many runs.
-    """
+def sarif_result() -> Column:
+    """A finding (columns rule_id, severity, message, file, line) as a SARIF result."""
     level = F.create_map(*[F.lit(x) for pair in SARIF_LEVELS.items() for x in pair])
     region = F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    result = F.struct(
+    return F.struct(
         F.col("rule_id").alias("ruleId"), F.coalesce(level[F.lower("severity")], F.lit("none")).alias("level"),
         F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"),
     )
-    rows = findings.withColumn("r", result)
+
+
+def sarif(findings: DataFrame, tool: str) -> DataFrame:
+    """One row, column ``sarif``: the findings (rule_id, severity, message, file, line) as a SARIF log for each file.
+
+    A log holds one file's results, so no row gathers more than a file; a reader takes the rows as so many runs.
+    """
+    rows = findings.withColumn("r", sarif_result())
     grouped = rows.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("line", F.to_json("r").alias("j"), "r"))).alias("rs"), F.array_sort(F.collect_set("rule_id")).alias("ids")
     )
