@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.net import with_canonical_ip
+from lodestream.llm.net import with_canonical_ip
 from lodestream.llm import distinct, leakage, packing, quantiles, truncation
 from lodestream.tables import table
 
