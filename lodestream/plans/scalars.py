@@ -182,10 +182,10 @@ def cost_normalised(v: Views) -> DataFrame:
 
 
 @add("X35_resource_cost", "tx_lines", """
-with r as (select id, line, gas_used * 100 as instructions, gas_price * 10000 as bytes from tx_lines)
+with r as (select id, line, gas_used * 100 as instructions, gas_price * 1000 as bytes from tx_lines)
 select id, line, ceil(instructions / 10000) as increments, round(power(instructions / 500000000, 2), 12) as pressure, round(bytes / 41943040, 9) as memory, round(100 * exp(5 * bytes / 41943040), 6) as memory_cost from r""")
 def resource_cost(v: Views) -> DataFrame:
-    instructions, used = F.col("gas_used") * 100, F.col("gas_price") * 10000
+    instructions, used = F.col("gas_used") * 100, F.col("gas_price") * 1000
     cpu, memory = costs.cpu_cost(instructions, limit_ledger=500_000_000), costs.memory_cost(used)
     return v.tx_lines.select(
         "id", "line", cpu["increments"].cast("double").alias("increments"), F.round(cpu["pressure"], 12).alias("pressure"), F.round(memory["normalized"], 9).alias("memory"),
