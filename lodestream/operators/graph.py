@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import cut
+from lodestream.session import cut, release
 
 
 def _edges(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -26,6 +26,81 @@ def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     return pairs
 
 
+#: Pairs of a closure that one pass of ``reach_counts`` may hold.
+PASS_PAIRS = 40_000_000
+
+
+def _peeled(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(rows by round, what is left): each round takes off the rows (a, b, x) of the nodes a that no other node leads to any more.
+
+    What is left leads to cycles, lies on them or comes from them.
+    """
+    rounds = []
+    while True:
+        entered = rows.where("a <> b").select(F.col("b").alias("a")).distinct().withColumn("entered", F.lit(True))
+        marked = cut(rows.join(entered, "a", "left"))
+        ready, rows = marked.where("entered is null").drop("entered"), marked.where("entered").drop("entered")
+        if ready.isEmpty():
+            return rounds, rows
+        rounds.append(ready)
+
+
+def _pass_counts(rounds: list[DataFrame], sizes: DataFrame | None, end: str, first: int, last: int, slices: int) -> DataFrame:
+    """node, n: the counts of ``reach_counts`` over the targets in the hash slices ``first`` to ``last`` - 1 of ``slices``.
+
+    Nodes get the union of what those they lead to reach, and of these, from the last round of ``_peeled`` to the first.
+    """
+    sets = None
+    inside = F.pmod(F.xxhash64("x"), F.lit(slices)).between(first, last - 1)
+    for number, rows in reversed(list(enumerate(rounds))):
+        own = F.filter(F.array("x"), lambda _: inside)
+        if sets is not None:
+            rows = rows.join(sets.withColumnRenamed("a", "b"), "b", "left")
+            own = F.concat(own, F.coalesce("reached", F.filter(F.array("x"), lambda _: F.lit(False))))
+        found = rows.select("a", own.alias("s")).where(F.size("s") > 0).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("reached"))
+        found = cut(found) if number else found  # nothing reads the sets of the first round but the counts
+        sets = found if sets is None else sets.unionByName(found)
+    if end == "a":
+        return cut(sets.select(F.col("a").alias("node"), F.size("reached").cast("long").alias("n")))
+    weight = F.lit(1).cast("long")
+    if sizes is not None:
+        sets, weight = sets.join(sizes, "a", "left"), F.coalesce("w", weight)
+    return cut(sets.select(F.explode("reached").alias("node"), weight.alias("w")).groupBy("node").agg(F.sum("w").alias("n")))
+
+
+def reach_counts(edges: DataFrame, source: str, target: str, end: str = "a") -> DataFrame:
+    """node, n: of the pairs (a, b) of ``reachable``, how many have the node at ``end``; nodes without any are left out.
+
+    Pairs aren't joined with one another. A node's set is the union of those of the nodes it leads to, which are done
+    before it; cycles are first drawn together to one node, with what their edges lead to. Targets are dealt with in
+    passes, so that only the sets of one pass are on disk; the first tells how many more are needed.
+    """
+    rows = cut(_edges(edges, source, target).withColumn("x", F.col("b")))
+    rounds, rest = _peeled(rows)
+    cycles = sizes = None
+    if not rest.isEmpty():
+        cycles = cut(on_cycles(rest, "a", "b"))
+        for old in ("a", "b"):
+            rows = rows.join(cycles.select(F.col("node").alias(old), "cycle"), old, "left").withColumn(old, F.coalesce("cycle", old)).drop("cycle")
+        rounds, rest = _peeled(cut(rows.select("a", "b", "x").distinct()))
+        sizes = cycles.groupBy(F.col("cycle").alias("a")).agg(F.count(F.lit(1)).alias("w"))
+    if not rounds:
+        return rows.select(F.col(end).alias("node"), F.lit(0).cast("long").alias("n")).limit(0)
+    slices = 1024
+    total = _pass_counts(rounds, sizes, end, 0, slices // 8, slices)
+    held = 7 * (total.agg(F.sum("n")).first()[0] or 0)
+    more = min(max(-(-held // PASS_PAIRS), 1), slices * 7 // 8)
+    borders = [slices // 8 + slices * 7 // 8 * i // more for i in range(more + 1)]
+    for first, last in zip(borders, borders[1:]):
+        release(edges.sparkSession)
+        total = total.unionByName(_pass_counts(rounds, sizes, end, first, last, slices))
+    total = total.groupBy("node").agg(F.sum("n").alias("n"))
+    if cycles is None or end == "b":
+        return total
+    members = cycles.select("node", F.col("cycle").alias("a"))
+    return total.join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("a"), "left").select(F.coalesce("member", "node").alias("node"), "n")
+
+
 def subtree_sums(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """node, size, total and depth of every node of a forest: over itself and all nodes below it.
 

@@ -65,7 +65,7 @@ def subtree_sums(v: Views) -> DataFrame:
 
 @add("G08_transitive_dependencies", sql="with recursive " + ", ".join([_DAG, _REACH.format("dag")]) + " select a as node, count(*) as dependencies from reach group by 1")
 def transitive_dependencies(v: Views) -> DataFrame:
-    return graph.reachable(dag(v), "a", "b").groupBy(F.col("a").alias("node")).agg(n_rows().alias("dependencies"))
+    return graph.reach_counts(dag(v), "a", "b", "a").withColumnRenamed("n", "dependencies")
 
 
 @add("G09_dependents", sql="with recursive " + ", ".join([_DAG, _REACH.format("dag")]) + " select b as node, count(*) as dependents from reach group by 1")

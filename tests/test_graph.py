@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,32 @@ def test_cycles_cover_every_part(spark, tmp_path):
                 ring.append(node)
             least |= dict.fromkeys(ring, min(ring))
     assert got == least and len(got) > 200
+
+
+@pytest.mark.parametrize("nodes, edges, pairs", [(30, 33, 40_000_000), (6, 8, 10), (5, 0, 10)])
+def test_reach_counts(spark, monkeypatch, nodes, edges, pairs):
+    monkeypatch.setattr(graph, "PASS_PAIRS", pairs)
+    pick = random.Random(nodes + edges)
+    links = [(pick.randrange(nodes), pick.randrange(nodes)) for _ in range(edges)]
+    reach = {(a, b) for a, b in links}
+    while longer := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
+        reach |= longer
+    frame = spark.createDataFrame([*links, (None, 1), (1, None)], "a long, b long")
+    for place, end in enumerate("ab"):
+        rows = graph.reach_counts(frame, "a", "b", end).collect()
+        assert sorted((r.node, r.n) for r in rows) == sorted(Counter(pair[place] for pair in reach).items())
+
+
+@pytest.mark.parametrize("name", ["G08_transitive_dependencies"])
+def test_dependencies_are_counted_without_joining_pairs(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(graph, "reachable", None)  # its rounds join the closure with itself
+    spark.range(1, 301).where("id % 11 > 0").select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    below = {}
+    for part in range(1, 301):
+        ends = {part // k for k in (2, 3) if part >= k and part % 11}
+        below[part] = ends | {x for end in ends for x in below[end]}
+    got = {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    if name[:3] == "G08":
+        assert got == {part: len(ends) for part, ends in below.items() if ends}
+    else:
+        assert got == Counter(x for ends in below.values() for x in ends)
