@@ -70,7 +70,7 @@ def transitive_dependencies(v: Views) -> DataFrame:
 
 @add("G09_dependents", sql="with recursive " + ", ".join([_DAG, _REACH.format("dag")]) + " select b as node, count(*) as dependents from reach group by 1")
 def dependents(v: Views) -> DataFrame:
-    return graph.reachable(dag(v), "a", "b").groupBy(F.col("b").alias("node")).agg(n_rows().alias("dependents"))
+    return graph.reach_counts(dag(v), "a", "b", "b").withColumnRenamed("n", "dependents")
 
 
 @add("G10_unused_exports", sql="with " + _DAG + " select p_partkey as node from part where p_partkey not in (select b from dag)")

@@ -99,7 +99,7 @@ def test_reach_counts(spark, monkeypatch, nodes, edges, pairs):
         assert sorted((r.node, r.n) for r in rows) == sorted(Counter(pair[place] for pair in reach).items())
 
 
-@pytest.mark.parametrize("name", ["G08_transitive_dependencies"])
+@pytest.mark.parametrize("name", ["G08_transitive_dependencies", "G09_dependents"])
 def test_dependencies_are_counted_without_joining_pairs(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(graph, "reachable", None)  # its rounds join the closure with itself
     spark.range(1, 301).where("id % 11 > 0").select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
